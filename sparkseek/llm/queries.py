@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkseek.llm.leakage import leaked
 from sparkseek.llm.neighbors import neighbor_pairs
 from sparkseek.llm.tokens import encode_once
 from sparkseek.session import table
@@ -16,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p2_found": lambda s, d: neighbor_pairs(table(s, d, "vec_chunks")),
+        "p7_found": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "golden_items")),
         "p6_ids": lambda s, d: encode_once(table(s, d, "documents")),
     }
 
