@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkseek.llm.leakage import leaked
 from sparkseek.llm.neighbors import neighbor_pairs
+from sparkseek.llm.secrets import masked_chunks, secret_lines
 from sparkseek.llm.syntax import invalid_files, invalid_rates
 from sparkseek.llm.tokens import encode_once
 from sparkseek.session import table
@@ -17,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: secret_lines(table(s, d, "chunks")),
+        "p1_redacted": lambda s, d: masked_chunks(table(s, d, "chunks")),
         "p2_found": lambda s, d: neighbor_pairs(table(s, d, "vec_chunks")),
         "p3_found": lambda s, d: invalid_files(table(s, d, "chunks")),
         "p3_rates": lambda s, d: invalid_rates(table(s, d, "chunks")),
