@@ -10,6 +10,7 @@ from sparkseek.llm.leakage import leaked
 from sparkseek.llm.neighbors import neighbor_pairs
 from sparkseek.llm.provenance import not_handwritten
 from sparkseek.llm.secrets import masked_chunks, secret_lines
+from sparkseek.llm.splitting import natural_boundaries, split_oversized
 from sparkseek.llm.syntax import invalid_files, invalid_rates
 from sparkseek.llm.tokens import encode_once
 from sparkseek.session import table
@@ -24,6 +25,8 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: neighbor_pairs(table(s, d, "vec_chunks")),
         "p3_found": lambda s, d: invalid_files(table(s, d, "chunks")),
         "p3_rates": lambda s, d: invalid_rates(table(s, d, "chunks")),
+        "p4_found": lambda s, d: natural_boundaries(table(s, d, "chunks")),
+        "p4_pieces": lambda s, d: split_oversized(table(s, d, "chunks")),
         "p5_found": lambda s, d: not_handwritten(table(s, d, "chunks")),
         "p7_found": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "golden_items")),
         "p6_ids": lambda s, d: encode_once(table(s, d, "documents")),
