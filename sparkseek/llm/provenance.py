@@ -21,6 +21,7 @@ Defined cases
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -37,10 +38,11 @@ LONG_LINE, MANGLED_SHORT, NUMBERED, DATA, FOREIGN = 500, 0.5, 0.27, 0.6, 0.6
 #: Robust deviations above the language's median cross-entropy from which names count as mangled.
 DEVIATIONS = 6.0
 
-_NAME = re.compile(r"(?<![\w$])[A-Za-z_$][\w$]*")
-_LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|#[^\n]*|/\*.*?\*/", re.S)
+#: Literals and comments match without a group, names with one.
+_NAME = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|#[^\n]*|/\*.*?\*/|\d[\w$]*|([A-Za-z_$][\w$]*)", re.S)
 _DATA_LINE = re.compile(r"[\s\"'0-9a-fA-Fx.,+/=\[\](){}<>;:bru_-]*|[\s\"'`]*(?:b|r)?[\"'`]?[A-Za-z0-9+/=]{40,}[\"'`]?[\s,;+\\)]*")
 _NUMBERED = re.compile(r"[A-Za-z]_?\d+_?$")
+_CAMEL, _SNAKE = re.compile("[a-z][A-Z]"), re.compile("[a-z]_[a-z]")
 _CONFIG_LINE = re.compile(r"\s*[\w.-]+:(?:\s+\S.*)?$")
 
 #: How generators mark their output, in the first comment lines (fixed vocabulary, several languages).
@@ -75,7 +77,9 @@ def _language(path: str) -> str | None:
 
 def names(code: str) -> set[str]:
     """The different names of a piece of code, without those in strings and comments."""
-    return set(_NAME.findall(_LITERAL.sub(" ", code)))
+    found = set(_NAME.findall(code))
+    found.discard("")
+    return found
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,33 +160,36 @@ def _measure(model_rows: list[tuple[str, str, int]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = NameModel(model_rows)
         languages = sorted(model.three)
-        known: dict[tuple[str, str], float] = {}
+        known: dict[str, dict[str, tuple[float, bool, bool, bool, bool]]] = {x: {} for x in languages}
+
+        def measured(language: str, n: str) -> tuple[float, bool, bool, bool, bool]:
+            """Cross-entropy, and whether the name is short, numbered, in camel case, in snake case."""
+            own = known[language]
+            found = own.get(n)
+            if found is None:
+                if len(own) > 200_000:
+                    own.clear()
+                found = own[n] = model.bits(language, n), len(n) <= 2, bool(_NUMBERED.search(n)), bool(_CAMEL.search(n)), bool(_SNAKE.search(n))
+            return found
+
         for pdf in batches:
             out = []
             for path, start, code in zip(pdf["file_path"], pdf["start_line"], pdf["code"], strict=True):
                 language = _language(path)
                 own = names(code)
-                bits = 0.0
-                for n in own:
-                    b = known.get((language, n))
-                    if b is None:
-                        b = known[language, n] = model.bits(language, n)
-                    bits += b
-                if len(known) > 500_000:
-                    known.clear()
+                all_of = [measured(language, n) for n in own]
+                bits = sum(x[0] for x in all_of)
+                short, numbered, camel, snake = (sum(x[k] for x in all_of) for k in range(1, 5))
                 lines = code.split("\n")
                 longest = max(map(len, lines))
-                data = sum(len(x) for x in lines if len(x) > 20 and _DATA_LINE.fullmatch(x) and (x.count(",") > 4 or len(x.strip()) > 40))
-                some = sorted(own)[:: max(1, len(own) // 40)] if own else []
-                best = min(languages, key=lambda x: sum(model.bits(x, n) for n in some)) if some and longest < LONG_LINE else language
+                data = sum(len(x) for x in lines if len(x) > 20 and (x.count(",") > 4 or (len(x) > 40 and " " not in x.strip())) and _DATA_LINE.fullmatch(x))
+                config = sum(1 for x in lines if _CONFIG_LINE.match(x)) if numbered > NUMBERED * len(own) else 0
+                # whether another language's model explains the names better is only asked where the style is unusual
+                unusual = camel + snake >= 4 and longest < LONG_LINE and (camel > 2 * snake if language in ("python", "c") else snake > 2 * camel)
+                best = min(languages, key=lambda x: sum(measured(x, n)[0] for n in own)) if unusual else language
                 generated, owner, origin = top_notes(code) if start <= 1 else (False, "", False)
-                out.append(
-                    (
-                        path, start, hash(code) & 0x7FFFFFFF, len(code), data, longest, len(lines), sum(1 for x in lines if _CONFIG_LINE.match(x)), len(own), bits,
-                        sum(1 for n in own if len(n) <= 2), sum(1 for n in own if _NUMBERED.search(n)), sum(1 for n in own if re.search("[a-z][A-Z]", n)),
-                        sum(1 for n in own if re.search(r"[a-z]_[a-z]", n)), best == language, generated, owner, origin, bool(_BANNER.match(code)) and start <= 1,
-                    )
-                )
+                code_hash = int.from_bytes(hashlib.blake2b(code.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big")
+                out.append((path, start, code_hash, len(code), data, longest, len(lines), config, len(own), bits, short, numbered, camel, snake, best == language, generated, owner, origin, start <= 1 and bool(_BANNER.match(code))))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _MEASURES.split(", ")])
 
     return run
@@ -224,7 +231,7 @@ def file_measures(chunks: DataFrame) -> DataFrame:
         "mangled": (F.col("longest") > LONG_LINE) & names_enough & (far | (share("short") > MANGLED_SHORT)),
         "template": (share("numbered") > NUMBERED) & (F.col("names") >= 6) & (F.col("config") < 0.5 * F.col("lines")),
         "is_data": (F.col("data") > DATA * F.col("chars")) & (F.col("chars") > 400),
-        "foreign": (F.abs(F.col("style") - F.col("usual_style")) > 2 * FOREIGN) & (F.col("camel") + F.col("snake") >= 12) & (F.col("own_share") > 0.5),
+        "foreign": (F.abs(F.col("style") - F.col("usual_style")) > 2 * FOREIGN) & (F.col("camel") + F.col("snake") >= 20) & (F.col("own_share") > 0.9),
     }
     files = files.withColumns(verdicts)
     other_owner = (F.col("owner") != "") & (F.col("owner") != F.lower("repo"))

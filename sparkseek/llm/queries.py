@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkseek.llm.leakage import leaked
+from sparkseek.llm.levels import document_levels, levels
 from sparkseek.llm.neighbors import neighbor_pairs
 from sparkseek.llm.provenance import not_handwritten
 from sparkseek.llm.secrets import masked_chunks, secret_lines
@@ -29,6 +30,8 @@ def queries() -> dict[str, Query]:
         "p4_pieces": lambda s, d: split_oversized(table(s, d, "chunks")),
         "p5_found": lambda s, d: not_handwritten(table(s, d, "chunks")),
         "p7_found": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "golden_items")),
+        "p8_found": lambda s, d: levels(table(s, d, "documents"), table(s, d, "doc_levels")),
+        "p8_profile": lambda s, d: document_levels(table(s, d, "documents"), table(s, d, "doc_levels")),
         "p6_ids": lambda s, d: encode_once(table(s, d, "documents")),
     }
 
