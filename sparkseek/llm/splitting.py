@@ -173,6 +173,7 @@ def pieces(code: str, path: str | None, symbol: str | None, start_line: int, lim
     prv = {i: i - 1 if i else None for i in alive}
     end = {i: atoms[i]["end"] for i in alive}
     begin = {i: shared(atoms[i]["start"]) for i in alive}
+    begin = {i: b if end[i] - b <= limit else atoms[i]["start"] for i, b in begin.items()}
     gone: set[int] = set()
     heap = [(atoms[i]["strength"], end[i] - atoms[i - 1]["start"], i) for i in alive[1:]]
     heapq.heapify(heap)
