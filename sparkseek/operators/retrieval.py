@@ -107,7 +107,8 @@ def substring_bm25(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "d
     words = F.filter(F.regexp_extract_all(F.lower(C.text(F.col("query"))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) >= token_length)
     cut = F.flatten(F.transform(words, lambda w: F.when(w.rlike(V.CJK), F.transform(F.sequence(F.lit(0), F.length(w) - token_length), lambda i: F.substring(w, i + 1, F.lit(token_length)))).otherwise(F.array(w))))
     terms = queries.select("qid", F.posexplode(cut).alias("phrase", "term")).withColumn("gram", F.substring("term", 1, 3))
-    grams = plain.filter(F.length("t") >= 3).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring(F.col("t"), i, F.lit(3))))).alias("gram"))
+    # a look-ahead finds every trigram in one pass over the text
+    grams = plain.select("id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(...))"), F.lit(1)))).alias("gram"))
     wanted = grams.join(terms.select("gram").distinct(), "gram", "left_semi")
     candidates = wanted.join(terms, "gram").select("qid", "phrase", "term", "id").join(plain, "id")
     tf = candidates.select("qid", "phrase", "id", ((F.length("t") - F.length(F.replace(F.col("t"), F.col("term")))) / F.length("term")).cast("long").alias("tf")).filter("tf > 0")

@@ -143,9 +143,10 @@ IDENTS = f"""idents AS (SELECT qid, list_distinct(list_concat(b, list_transform(
 
 _BOOST = f"""CASE WHEN len(asked_tokens) = 0 THEN 1.0::DOUBLE WHEN array_to_string(sp, '') <> '' AND list_contains(asked_tokens, array_to_string(sp, '')) THEN 1.5::DOUBLE
   ELSE 1.0::DOUBLE + 0.1::DOUBLE * least(len(list_intersect(list_distinct(list_concat(sp, stp)), asked_tokens)), 3) END"""
-SCORED = f"""ready AS (SELECT b.qid, b.id, round(-b.score, 6) AS score, b.rank, c.file_path, c.language, c.symbol, c.code, a.query, {_parts("c.symbol")} AS sp, {_parts(f"regexp_extract({_base('c.file_path')}, '^([^.]*)', 1)")} AS stp,
+def _scored(source: str = "bm25", score: str = "round(-b.score, 6)") -> str:
+    return f"""ready AS (SELECT b.qid, b.id, {score} AS score, b.rank, c.file_path, c.language, c.symbol, c.code, a.query, {_parts("c.symbol")} AS sp, {_parts(f"regexp_extract({_base('c.file_path')}, '^([^.]*)', 1)")} AS stp,
     list_distinct(list_concat(list_transform(regexp_extract_all(a.query, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: lower(w)), flatten(list_transform(regexp_extract_all(a.query, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: {_parts("w")})))) AS asked_tokens
-  FROM bm25 b JOIN corpus c ON b.id = c.chunk_id JOIN asked a USING (qid)),
+  FROM {source} b JOIN corpus c ON b.id = c.chunk_id JOIN asked a USING (qid)),
   scored AS (SELECT qid, id, rank, file_path, code, query, decl AS decl_mult, score * decl * tst * bar * noncode * ent * tiny * boost AS score FROM (SELECT *,
     CASE WHEN NOT {_intent("query", "decl")} AND {_declaration("code", "language")} THEN CASE WHEN {_intent("query", "impl")} THEN 0.5625::DOUBLE ELSE 0.75::DOUBLE END ELSE 1.0::DOUBLE END AS decl,
     CASE WHEN {_TEST} THEN CASE WHEN {_intent("query", "test")} THEN 1.2::DOUBLE ELSE 0.5::DOUBLE END ELSE 1.0::DOUBLE END AS tst,
@@ -155,28 +156,38 @@ SCORED = f"""ready AS (SELECT b.qid, b.id, round(-b.score, 6) AS score, b.rank,
     CASE WHEN len(string_split(code, chr(10))) <= 2 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS tiny, {_BOOST} AS boost FROM ready))"""
 
 
+SCORED = _scored()
+
+
 def _symbol_scored() -> str:
     return f"{CORPUS}, {SYMBOL_QUERIES}, {_bm25('asked')}, ss AS (SELECT b.qid, b.id, round(-b.score, 6) AS score, b.rank AS r0, c.file_path FROM bm25 b JOIN corpus c ON b.id = c.chunk_id)"
 
 
 def _capped(where: str = "true", n: int = 10, source: str = "ss") -> str:
     return f"""few AS (SELECT * FROM {source} WHERE {where} QUALIFY row_number() OVER (PARTITION BY qid, file_path ORDER BY score DESC, id) <= {V.MAX_PER_FILE}),
-  top AS (SELECT qid, id, file_path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM few QUALIFY rank <= {n})"""
+  top AS (SELECT qid, id, file_path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM few QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= {n})"""
 
 
-_RELATED = f"""origins AS (SELECT chunk_id AS qid, chunk_id AS id, symbol FROM corpus WHERE chunk_id % 50 = 0),
+def _related(origins: str) -> str:
+    """CTEs that end in ``numbered(qid, id, relation, n)`` for a SELECT of origins (qid, id, symbol)."""
+    return f"""origins AS ({origins}),
   fan AS (SELECT symbol FROM corpus WHERE symbol <> '' GROUP BY symbol HAVING count(*) <= {V.MAX_FANOUT}),
   called AS (SELECT DISTINCT o.qid, c.callee_name FROM calls c JOIN origins o ON c.caller_id = o.id WHERE NOT {_boilerplate("c.callee_name")} AND c.callee_name NOT IN (SELECT callee_name FROM hot)),
-  callees AS (SELECT DISTINCT k.qid, p.chunk_id AS id, 'callee' AS relation FROM called k JOIN fan ON fan.symbol = k.callee_name JOIN corpus p ON p.symbol = k.callee_name WHERE p.chunk_id <> k.qid),
+  callees AS (SELECT DISTINCT k.qid, p.chunk_id AS id, 'callee' AS relation FROM called k JOIN fan ON fan.symbol = k.callee_name JOIN corpus p ON p.symbol = k.callee_name WHERE (k.qid, p.chunk_id) NOT IN (SELECT (qid, id) FROM origins)),
   names AS (SELECT qid, symbol AS callee_name FROM origins UNION SELECT o.qid, unnest({_ordered_distinct("d.all_names")}[1:{V.DECLARED_MOST}]) FROM origins o JOIN declared d ON d.chunk_id = o.id),
   wanted AS (SELECT DISTINCT qid, callee_name FROM names WHERE callee_name <> '' AND NOT {_boilerplate("callee_name")} AND callee_name NOT IN (SELECT callee_name FROM hot)),
-  callers AS (SELECT DISTINCT w.qid, c.caller_id AS id, 'caller' AS relation FROM calls c JOIN wanted w USING (callee_name) WHERE c.caller_id <> w.qid AND (w.qid, c.caller_id) NOT IN (SELECT (qid, id) FROM callees)),
+  callers AS (SELECT DISTINCT w.qid, c.caller_id AS id, 'caller' AS relation FROM calls c JOIN wanted w USING (callee_name) WHERE (w.qid, c.caller_id) NOT IN (SELECT (qid, id) FROM origins) AND (w.qid, c.caller_id) NOT IN (SELECT (qid, id) FROM callees)),
   found AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relation = 'caller', id) AS n FROM (SELECT * FROM callees UNION ALL SELECT * FROM callers) QUALIFY n <= {V.GRAPH_LIMIT * 9}),
   once AS (SELECT f.* FROM found f JOIN corpus c ON c.chunk_id = f.id QUALIFY row_number() OVER (PARTITION BY f.qid, c.symbol, c.code[1:200] ORDER BY f.n) = 1),
   numbered AS (SELECT qid, id, relation, row_number() OVER (PARTITION BY qid ORDER BY n) AS n FROM once QUALIFY n <= {V.GRAPH_LIMIT * 3})"""
 
 _FORCED = f"{_base('file_path')} IN ({_list(V.FORCED_FILES)})"
 
+_SEP = "(?:以及|并且|同时|和|与|并|及)"
+_COMPOUND = "regexp_replace(query, '[+＋]', chr(1), 'g')"
+for _ in range(2):  # neighbouring matches share a sign, so twice
+    _COMPOUND = f"regexp_replace({_COMPOUND}, '([一-鿿]){_SEP}([一-鿿])', '\\1' || chr(1) || '\\2', 'g')"
+
 SQL: dict[str, str] = {
     "chunk_lines": f"WITH {_windows(60, 50)} SELECT doc_id, 'lines_' || (i + 1) AS symbol, i + 1 AS start_line, least(i + 60, n) AS end_line, sha256(doc_id || chr(0) || code) AS blob_hash FROM cut WHERE regexp_matches(code, '\\S')",
     "chunk_lines_short": f"WITH {_windows(12, 8)} SELECT doc_id, 'lines_' || (i + 1) AS symbol, i + 1 AS start_line, least(i + 12, n) AS end_line, length(code) AS n_chars FROM cut WHERE regexp_matches(code, '\\S')",
@@ -186,12 +197,12 @@ SQL: dict[str, str] = {
     "cascade_delete": f"""WITH {CORPUS}, {CALLS}, {USABLE}, {STATES}, gone AS (SELECT file_path FROM states WHERE state = 'deleted'), gone_ids AS (SELECT chunk_id FROM corpus WHERE file_path IN (SELECT file_path FROM gone))
       SELECT 'chunks' AS dataset, count(*) AS n FROM corpus WHERE file_path NOT IN (SELECT file_path FROM gone) UNION ALL SELECT 'edges', count(*) FROM calls WHERE caller_id NOT IN (SELECT chunk_id FROM gone_ids)""",
     "replace_files": f"WITH {CORPUS}, {USABLE}, {STATES}, dirty AS (SELECT file_path FROM states WHERE state = 'dirty') SELECT chunk_id, file_path FROM corpus WHERE file_path NOT IN (SELECT file_path FROM dirty) OR start_line = 1",
-    "fingerprint_latest": f"WITH {_fingerprints('latest', 'a')} SELECT file_path, file_hash, mtime, size FROM a",
+    "fingerprint_latest": f"WITH {_fingerprints('latest', 'a')} SELECT file_path, file_hash, coalesce(mtime, -1) AS mtime, coalesce(size, -1) AS size FROM a",
     "fingerprint_diff": f"""WITH {_fingerprints("latest", "cur")}, {_fingerprints("oldest", "old")}, listing AS (SELECT p.file_path, c.file_hash, c.mtime, c.size FROM (SELECT DISTINCT file_path FROM chunks) p LEFT JOIN cur c USING (file_path))
       SELECT coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN b.file_path IS NULL THEN 'new' WHEN a.file_path IS NULL THEN 'deleted' WHEN a.mtime IS NOT DISTINCT FROM b.mtime AND a.size IS NOT DISTINCT FROM b.size THEN 'same'
         WHEN a.file_hash = b.file_hash AND a.file_hash <> '' THEN 'touched' ELSE 'changed' END AS status FROM listing a FULL OUTER JOIN old b ON a.file_path = b.file_path""",
-    "fingerprint_upsert": f"WITH {_fingerprints('oldest', 'old', 'mtime IS NOT NULL')}, {_fingerprints('latest', 'cur', 'size IS NOT NULL')} SELECT file_path, file_hash, mtime, size FROM cur UNION ALL SELECT file_path, file_hash, mtime, size FROM old WHERE file_path NOT IN (SELECT file_path FROM cur)",
-    "file_admission": f"""SELECT DISTINCT file_path, size, {_base("file_path")} NOT IN ({_list(V.LOCK_FILES)}) AND ({_FORCED} OR {_lang("file_path")} <> 'text')
+    "fingerprint_upsert": f"WITH {_fingerprints('oldest', 'old', 'mtime IS NOT NULL')}, {_fingerprints('latest', 'cur', 'size IS NOT NULL')} SELECT file_path, file_hash, coalesce(mtime, -1) AS mtime, coalesce(size, -1) AS size FROM (SELECT file_path, file_hash, mtime, size FROM cur UNION ALL SELECT file_path, file_hash, mtime, size FROM old WHERE file_path NOT IN (SELECT file_path FROM cur))",
+    "file_admission": f"""SELECT DISTINCT file_path, coalesce(size, -1) AS size, {_base("file_path")} NOT IN ({_list(V.LOCK_FILES)}) AND ({_FORCED} OR {_lang("file_path")} <> 'text')
       AND len(list_filter(string_split(file_path, '/')[1:-2], lambda x: x IN ({_list(V.IGNORED_DIRS)}) OR (x LIKE '.%' AND x NOT IN ({_list(V.ALLOWED_DOT_DIRS)})))) = 0 AND coalesce(size, 0) <= {V.MAX_FILE_SIZE} AS admitted FROM files WHERE file_path IS NOT NULL""",
     "stats": f"WITH {CORPUS} SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, count(DISTINCT nullif(symbol, '')) AS symbols FROM corpus",
     "meaningful": f"WITH {CORPUS} SELECT chunk_id, len(string_split(code, chr(10))) >= 3 OR length(regexp_replace(code, '^\\s+|\\s+$', '', 'g')) >= 40 AS meaningful FROM corpus",
@@ -213,7 +224,7 @@ SQL: dict[str, str] = {
     "hot_symbols": f"WITH {CALLS}, {HOT} SELECT * FROM hot",
     "symbol_fanout": f"WITH {CORPUS} SELECT symbol, count(*) AS definitions, count(*) <= {V.MAX_FANOUT} AS resolvable FROM corpus WHERE symbol <> '' GROUP BY symbol",
     "callers_of": f"WITH {CORPUS}, {CALLS}, {SYMBOL_QUERIES}, names AS (SELECT DISTINCT qid, query AS callee_name FROM asked) SELECT qid, callee_name, caller_id AS id FROM calls JOIN names USING (callee_name) QUALIFY row_number() OVER (PARTITION BY qid, callee_name ORDER BY caller_id) <= {V.CALLERS_LIMIT}",
-    "graph_expand": f"WITH {CORPUS}, {CALLS}, {HOT}, {DECLARED}, {_RELATED} SELECT qid, id, relation, row_number() OVER (PARTITION BY qid ORDER BY relation = 'caller' DESC, n) AS rank FROM numbered QUALIFY rank <= {V.GRAPH_LIMIT}",
+    "graph_expand": f"WITH {CORPUS}, {CALLS}, {HOT}, {DECLARED}, {_related('SELECT chunk_id AS qid, chunk_id AS id, symbol FROM corpus WHERE chunk_id % 50 = 0')} SELECT qid, id, relation, row_number() OVER (PARTITION BY qid ORDER BY relation = 'caller' DESC, n) AS rank FROM numbered QUALIFY rank <= {V.GRAPH_LIMIT}",
     "intent_inject": f"""WITH {CORPUS}, {CALLS}, {TEXT_QUERIES}, {_bm25("asked")}, named_queries AS (SELECT DISTINCT item_id AS qid, 'who calls ' || query AS query FROM golden_items WHERE query IS NOT NULL), {IDENTS},
       hits AS (SELECT DISTINCT qid, id FROM (SELECT n.qid, n.name, c.caller_id AS id FROM (SELECT qid, unnest(names) AS name FROM idents) n JOIN calls c ON c.callee_name = n.name QUALIFY row_number() OVER (PARTITION BY n.qid, n.name ORDER BY c.caller_id) <= {V.CALLERS_LIMIT}))
       SELECT coalesce(b.qid, h.qid) AS qid, coalesce(b.id, h.id) AS id, CASE WHEN h.qid IS NOT NULL THEN {V.INTENT_SCORE}::DOUBLE ELSE round(-b.score, 6) END AS score FROM bm25 b FULL OUTER JOIN hits h ON b.qid = h.qid AND b.id = h.id""",
@@ -237,4 +248,42 @@ SQL: dict[str, str] = {
       stems AS (SELECT *, string_split(base || tail, '.')[1] AS stem FROM rows), best AS (SELECT repo, stem, max(score / decl_mult) AS base, arg_max(id, (score, 0)) AS best_id FROM stems GROUP BY repo, stem)
       SELECT s.repo, s.id, round(CASE WHEN b.base > s.score THEN b.base * 1.01::DOUBLE ELSE s.score END, 6) AS score FROM stems s
       LEFT JOIN (SELECT i.repo, i.best_id AS id, x.base FROM best i JOIN best x ON i.repo = x.repo AND i.stem = x.stem || 'Impl') b ON b.repo = s.repo AND b.id = s.id""",
+    "query_intents": f"""SELECT item_id, {", ".join(f"{_intent('query', k)} AS {k}" for k in V.INTENTS)}, CASE WHEN len(parts) = 2 THEN array_to_string(parts, '|') ELSE '' END AS halves, array_to_string(list_sort(names), '|') AS named FROM (
+      SELECT q.item_id, q.query, list_filter(list_transform(string_split({_COMPOUND}, chr(1)), lambda p: trim(p, ' ')), lambda p: length(p) >= {V.COMPOUND_MIN}) AS parts, i.names FROM (SELECT DISTINCT item_id, query FROM golden_items) q
+      JOIN (WITH named_queries AS (SELECT DISTINCT item_id AS qid, query FROM golden_items), {IDENTS} SELECT * FROM idents) i ON i.qid = q.item_id)""",
+    "trigram_match": f"""WITH docs AS (SELECT doc_id AS id, lower(min(text)) AS t FROM documents WHERE text IS NOT NULL GROUP BY doc_id HAVING min(text) <> ''), asked AS (SELECT DISTINCT item_id AS qid, query FROM golden_items WHERE lang = 'zh' AND query IS NOT NULL),
+      words AS (SELECT qid, unnest(w) AS word, unnest(range(len(w))) AS n FROM (SELECT qid, list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 3) AS w FROM asked)),
+      cut AS (SELECT qid, n, unnest(CASE WHEN regexp_matches(word, '{V.CJK}') THEN list_transform(range(length(word) - 2), lambda i: word[i + 1 : i + 3]) ELSE [word] END) AS term FROM words),
+      terms AS (SELECT qid, term, row_number() OVER () AS phrase FROM cut),
+      tf AS (SELECT qid, phrase, id, (length(t) - length(replace(t, term, ''))) // length(term) AS tf FROM terms, docs WHERE contains(t, term)),
+      df AS (SELECT qid, phrase, count(*) AS df FROM tf GROUP BY qid, phrase), totals AS (SELECT count(*) AS n, avg(greatest(length(t) - 2, 0)) AS avg_dl FROM docs),
+      summed AS (SELECT qid, id, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN {V.IDF_FLOOR:.6f} ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(length(t) - 2, 0) / avg_dl))), 6) AS score
+        FROM tf JOIN df USING (qid, phrase) JOIN docs USING (id), totals GROUP BY qid, id)
+      SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM summed QUALIFY rank <= 20""",
+    "eval_metrics": f"""WITH {CORPUS}, golden AS (SELECT DISTINCT item_id AS qid, cat, expected, query FROM golden_items WHERE query IS NOT NULL), {_bm25("(SELECT DISTINCT qid, query FROM golden)", 10)},
+      found AS (SELECT b.qid, b.rank, c.file_path FROM bm25 b JOIN corpus c ON b.id = c.chunk_id), wanted AS (SELECT qid, cat, unnest(CASE WHEN len(expected) = 0 OR expected IS NULL THEN [NULL] ELSE expected END) AS path FROM golden),
+      hits AS (SELECT w.qid, w.cat, min(CASE WHEN contains(f.file_path, w.path) THEN f.rank END) AS r FROM wanted w LEFT JOIN found f USING (qid) GROUP BY w.qid, w.cat)
+      SELECT cat, count(*) AS items, round(avg(coalesce(r = 1, false)::INT), 6) AS top1, round(avg(coalesce(r <= 5, false)::INT), 6) AS recall5, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM hits GROUP BY cat""",
+    "rescue": f"""WITH {_symbol_scored()}, {_capped("r0 <= 10")}, probes AS (SELECT DISTINCT qid, file_path FROM ss WHERE r0 > 10), held AS (SELECT DISTINCT p.qid FROM probes p JOIN top t USING (qid, file_path)),
+      pool AS (SELECT s.* FROM ss s JOIN probes p USING (qid, file_path) WHERE s.qid NOT IN (SELECT qid FROM held) AND 0.5 - s.r0 / 100.0 >= 0.2 AND (s.qid, s.id) NOT IN (SELECT (qid, id) FROM top)),
+      best AS (SELECT qid, id, score FROM pool QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r0, id) = 1),
+      low AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid ORDER BY score, id DESC) AS k FROM top),
+      kept AS (SELECT l.qid, l.id, l.score, false AS rescued FROM low l LEFT JOIN best b ON b.qid = l.qid WHERE NOT (b.qid IS NOT NULL AND l.n >= 10 AND l.k = 1) UNION ALL SELECT qid, id, score, true FROM best)
+      SELECT qid, id, rescued, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM kept""",
+    "rerank_mix": f"""WITH {CORPUS}, {TEXT_QUERIES}, {_bm25("asked")}, {SCORED}, halves AS (SELECT qid, id, score, code, list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 2) AS w FROM scored),
+      subs AS (SELECT qid, id, 0 AS sub, code, w[1 : ceil(len(w) / 2.0)::INT] AS part FROM halves UNION ALL SELECT qid, id, 1, code, w[ceil(len(w) / 2.0)::INT + 1 :] FROM halves),
+      toks AS (SELECT qid, id, sub, list_distinct({_tokens("array_to_string(part, ' ')")}) AS a, list_distinct({_tokens("code")}) AS b FROM subs),
+      s AS (SELECT qid, id, sub, len(list_intersect(a, b)) / greatest(len(a), 1)::DOUBLE AS s FROM toks), best AS (SELECT qid, sub, max(s) AS best FROM s GROUP BY qid, sub), tops AS (SELECT qid, max(score) AS top FROM scored GROUP BY qid),
+      raised AS (SELECT qid, id, max(top * s / best * 0.95::DOUBLE) AS raised, max(s) AS sub_score FROM s JOIN best USING (qid, sub) JOIN tops USING (qid) WHERE s >= 0.2 AND best > 0 GROUP BY qid, id)
+      SELECT qid, id, round(greatest(score, raised), 6) AS score, round(sub_score, 6) AS sub_score FROM scored LEFT JOIN raised USING (qid, id)""",
+    "hybrid_search": f"""WITH {CORPUS}, {VECTORS}, {CALLS}, {HOT}, {DECLARED}, asked AS (SELECT c.chunk_id AS qid, c.symbol AS query FROM corpus c JOIN vectors v USING (chunk_id) WHERE c.symbol <> '' AND c.chunk_id % 50 = 0),
+      {_bm25("asked", 50)}, {_knn(50, where="v.chunk_id IN (SELECT qid FROM asked)")},
+      lists AS (SELECT qid, id, rank, 0 AS path FROM knn UNION ALL SELECT qid, id, rank, 1 FROM bm25),
+      summed2 AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min({{'path': path, 'rank': rank}}) AS first FROM lists GROUP BY qid, id),
+      fused AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first.path, first.rank, id) AS rank FROM summed2), taken AS (SELECT * FROM fused WHERE rank <= 50),
+      {_scored("taken", "b.score")}, {_capped("true", 10, "scored")},
+      {_related("SELECT t.qid, t.id, c.symbol FROM top t JOIN corpus c ON c.chunk_id = t.id")},
+      near AS (SELECT * FROM (SELECT n.qid, n.id, n.relation, row_number() OVER (PARTITION BY n.qid ORDER BY coalesce(f.score, 0) DESC, n.relation = 'caller' DESC, n.n) AS rank FROM numbered n LEFT JOIN fused f ON f.qid = n.qid AND f.id = n.id) WHERE rank <= {V.GRAPH_LIMIT})
+      SELECT qid, rank, id, file_path, symbol, score, relation FROM (SELECT t.qid, t.rank, t.id, c.file_path, c.symbol, round(t.score, 6) AS score, NULL AS relation FROM top t JOIN corpus c ON c.chunk_id = t.id
+        UNION ALL SELECT n.qid, n.rank + 10, n.id, c.file_path, c.symbol, 0.0, n.relation FROM near n JOIN corpus c ON c.chunk_id = n.id)""",
 }

@@ -96,8 +96,13 @@ def replace_files(s: SparkSession, d: str) -> DataFrame:
     return corpus.replace_files(rows, new, dirty).select("chunk_id", "file_path")
 
 
+def _shown(files: DataFrame) -> DataFrame:
+    """Fingerprints with -1 for unknown times and sizes."""
+    return files.select("file_path", "file_hash", F.coalesce("mtime", F.lit(-1.0)).alias("mtime"), F.coalesce("size", F.lit(-1)).cast("long").alias("size"))
+
+
 def fingerprint_latest(s: SparkSession, d: str) -> DataFrame:
-    return corpus.latest_fingerprints(table(s, d, "files"))
+    return _shown(corpus.latest_fingerprints(table(s, d, "files")))
 
 
 def fingerprint_diff(s: SparkSession, d: str) -> DataFrame:
@@ -110,11 +115,11 @@ def fingerprint_diff(s: SparkSession, d: str) -> DataFrame:
 def fingerprint_upsert(s: SparkSession, d: str) -> DataFrame:
     files = table(s, d, "files")
     old = corpus.oldest_fingerprints(files.filter("mtime is not null"))
-    return corpus.upsert_fingerprints(old, corpus.latest_fingerprints(files.filter("size is not null")))
+    return _shown(corpus.upsert_fingerprints(old, corpus.latest_fingerprints(files.filter("size is not null"))))
 
 
 def file_admission(s: SparkSession, d: str) -> DataFrame:
-    return corpus.admitted(table(s, d, "files").filter("file_path is not null")).select("file_path", "size", "admitted").distinct()
+    return corpus.admitted(table(s, d, "files").filter("file_path is not null")).select("file_path", F.coalesce("size", F.lit(-1)).cast("long").alias("size"), "admitted").distinct()
 
 
 def stats(s: SparkSession, d: str) -> DataFrame:
