@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from sparkseek.functions import columns as C
 from sparkseek.functions import vocabulary as V
+from sparkseek.session import broadcast_if_small
 
 
 def top_per_query(scored: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -85,7 +86,7 @@ def bm25(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id",
     words = queries.select("qid", F.posexplode(C.query_phrases(F.col("query"))).alias("phrase", "word"))
     terms = words.select("qid", "phrase", C.word_tokens(F.col("word")).alias("parts")).filter(F.size("parts") > 0)
     terms = terms.select("qid", "phrase", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part", "term"))
-    hits = postings(rows, id_col, fields).join(terms, "term").select("qid", "phrase", "n_parts", "id", "field", (F.col("pos") - F.col("part")).alias("at"))
+    hits = postings(rows, id_col, fields).join(broadcast_if_small(terms), "term").select("qid", "phrase", "n_parts", "id", "field", (F.col("pos") - F.col("part")).alias("at"))
     starts = hits.groupBy("qid", "phrase", "n_parts", "id", "field", "at").count().filter(F.col("count") == F.col("n_parts"))
     tf = starts.groupBy("qid", "phrase", "id").agg(F.count("*").alias("tf"))
     df = tf.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
@@ -109,8 +110,7 @@ def substring_bm25(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "d
     terms = queries.select("qid", F.posexplode(cut).alias("phrase", "term")).withColumn("gram", F.substring("term", 1, 3))
     # a look-ahead finds every trigram in one pass over the text
     grams = plain.select("id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(...))"), F.lit(1)))).alias("gram"))
-    wanted = grams.join(terms.select("gram").distinct(), "gram", "left_semi")
-    candidates = wanted.join(terms, "gram").select("qid", "phrase", "term", "id").join(plain, "id")
+    candidates = grams.join(broadcast_if_small(terms), "gram").select("qid", "phrase", "term", "id").join(plain, "id")
     tf = candidates.select("qid", "phrase", "id", ((F.length("t") - F.length(F.replace(F.col("t"), F.col("term")))) / F.length("term")).cast("long").alias("tf")).filter("tf > 0")
     df = tf.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
     sized = plain.select("id", F.greatest(F.length("t") - 2, F.lit(0)).alias("dl"))

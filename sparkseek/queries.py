@@ -15,7 +15,7 @@ from sparkseek.functions import columns as C
 from sparkseek.functions import vocabulary as V
 from sparkseek.operators import chunking, corpus, embedding, evaluation, graph, render, retrieval, scoring
 from sparkseek.plans import search as plans
-from sparkseek.session import table
+from sparkseek.session import cut, table
 from sparkseek.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,7 +346,11 @@ def eval_metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    found = plans.search(_chunks(s, d), _vectors(s, d), table(s, d, "edges"), _example_queries(s, d), plans.Options(top_k=50))
+    """The store is written once (as a snapshot would be) and read by every path of the plan."""
+    chunks, vectors = cut(_chunks(s, d)), cut(_vectors(s, d))
+    named = chunks.filter("symbol != '' and chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), F.col("symbol").alias("query"))
+    asked = cut(named.join(vectors.select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("qvec")), "qid"))
+    found = plans.search(chunks, vectors, table(s, d, "edges"), asked, plans.Options(top_k=50))
     return found.select("qid", "rank", "id", "file_path", "symbol", F.round("score", 6).alias("score"), "relation")
 
 

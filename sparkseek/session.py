@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so that later reads survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, which a count of no more than one row beyond that decides;
+    otherwise as it is, so that the join shuffles. For narrow rows only (ids, terms, names)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
