@@ -98,6 +98,16 @@ def admitted(files: DataFrame) -> DataFrame:
     return files.withColumn("admitted", ~name.isin(*V.LOCK_FILES) & (forced | known) & ~pruned & small)
 
 
+def whole_files(chunks: DataFrame) -> DataFrame:
+    """``(file_path, code)``: each file's lines once each, in order of file line; of overlapping pieces the earliest one's line is
+    taken. Lines are reduced by (file, line) before a file is put together, so repeated pieces move once."""
+    rows = chunks.filter(F.col("file_path").isNotNull() & F.col("code").isNotNull()).select("file_path", F.coalesce("start_line", F.lit(1)).alias("start_line"), "code")
+    lines = rows.select("file_path", "start_line", F.posexplode(F.split("code", "\n", -1)).alias("i", "line"))
+    once = lines.groupBy("file_path", (F.col("start_line") + F.col("i")).alias("at")).agg(F.min(F.struct("start_line", "line")).alias("first"))
+    own = once.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("at", F.col("first.line").alias("line")))).alias("lines"))
+    return own.select("file_path", F.array_join(F.transform("lines", lambda x: x.line), "\n").alias("code"))
+
+
 def stats(chunks: DataFrame) -> DataFrame:
     """Numbers of stored chunks, files and symbols."""
     return chunks.agg(F.count("*").alias("chunks"), F.countDistinct("file_path").alias("files"), F.countDistinct(F.when(F.col("symbol") != "", F.col("symbol"))).alias("symbols"))

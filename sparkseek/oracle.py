@@ -207,6 +207,10 @@ SQL: dict[str, str] = {
     "stats": f"WITH {CORPUS} SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, count(DISTINCT nullif(symbol, '')) AS symbols FROM corpus",
     "meaningful": f"WITH {CORPUS} SELECT chunk_id, len(string_split(code, chr(10))) >= 3 OR length(regexp_replace(code, '^\\s+|\\s+$', '', 'g')) >= 40 AS meaningful FROM corpus",
     "edge_extract": f"WITH {CORPUS}, named AS (SELECT DISTINCT chunk_id AS caller_id, unnest(regexp_extract_all(code, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)) AS callee_name FROM corpus) SELECT * FROM named WHERE callee_name NOT IN ({_list(V.CALL_STOP + V.CALL_KEYWORDS)})",
+    "whole_files": """WITH pieces AS (SELECT DISTINCT file_path, coalesce(start_line, 1) AS s, string_split(code, chr(10)) AS l FROM chunks WHERE file_path IS NOT NULL AND code IS NOT NULL),
+      lines AS (SELECT file_path, s, s + i AS pos, l[i + 1] AS line FROM (SELECT file_path, s, l, unnest(range(len(l))) AS i FROM pieces)),
+      once AS (SELECT file_path, pos, arg_min(line, (s, line)) AS line FROM lines GROUP BY file_path, pos), whole AS (SELECT file_path, string_agg(line, chr(10) ORDER BY pos) AS code FROM once GROUP BY file_path)
+      SELECT file_path, length(code) AS n_chars, md5(code) AS code_md5 FROM whole""",
     "embed_texts": f"WITH {CORPUS} SELECT chunk_id, md5(({_EMBED})[1:16000]) AS embed_md5, md5((coalesce(file_path, '') || ' :: ' || symbol || chr(10) || code)[1:4000]) AS rerank_md5 FROM corpus",
     "ident_split": f"WITH {CORPUS} SELECT chunk_id, array_to_string({_parts('symbol')}, ' ') AS parts, {_base('file_path')} AS base, regexp_extract({_base('file_path')}, '^([^.]*)', 1) AS stem FROM corpus",
     "fts_tokens": f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, md5(array_to_string({_tokens('text')}, ' ')) AS tokens_md5 FROM documents",

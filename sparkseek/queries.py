@@ -135,10 +135,11 @@ def edge_extract(s: SparkSession, d: str) -> DataFrame:
 
 
 def ast_chunks(s: SparkSession, d: str) -> DataFrame:
-    """Whole files, put together from their first pieces' lines, cut into definitions."""
-    pieces = table(s, d, "chunks").filter("file_path is not null and code is not null").select("file_path", F.coalesce("start_line", F.lit(1)).alias("start_line"), "code").distinct()
-    whole = pieces.groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "code"))), lambda p: p.code), "\n").alias("code"))
-    return chunking.chunk_files(whole).select("file_path", "symbol", "start_line", "end_line", "blob_hash")
+    return chunking.chunk_files(corpus.whole_files(table(s, d, "chunks"))).select("file_path", "symbol", "start_line", "end_line", "blob_hash")
+
+
+def whole_files(s: SparkSession, d: str) -> DataFrame:
+    return corpus.whole_files(table(s, d, "chunks")).select("file_path", F.length("code").alias("n_chars"), F.md5("code").alias("code_md5"))
 
 
 def batch_packing(s: SparkSession, d: str) -> DataFrame:
@@ -356,7 +357,7 @@ def hybrid_search(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: list[Query] = [
     chunk_lines, chunk_lines_short, language_map, blob_dedup, insert_ignore, cascade_delete, replace_files, fingerprint_latest, fingerprint_diff, fingerprint_upsert,
-    file_admission, stats, meaningful, edge_extract, ast_chunks, batch_packing, embed_texts, embed_hash, ident_split, fts_tokens, declared_names, file_classes,
+    file_admission, stats, meaningful, edge_extract, whole_files, ast_chunks, batch_packing, embed_texts, embed_hash, ident_split, fts_tokens, declared_names, file_classes,
     query_intents, vector_serialise, knn_l2, knn_int8, topk_agreement, bm25_topk, bm25_symbols, trigram_match, rrf_fusion, intent_score, per_group_cap,
     path_filter_glob, path_filter_part, impl_pairing, hot_symbols, symbol_fanout, callers_of, graph_expand, intent_inject, content_dedup, rerank_mix, rescue,
     numbered_lines, render_overlap, render_markdown, last_op_wins, debounce_bursts, count_flush, eval_metrics, hybrid_search,
