@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.functions import columns as C
@@ -32,24 +32,44 @@ def intent_hits(queries: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.callers_of(edges, names).select("qid", "id").distinct()
 
 
-def recall(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Fused candidates of ``queries`` (qid, query, qvec): nearest vectors, words, and substrings where the query has Han signs."""
-    near = retrieval.knn(vectors, queries, k).select("qid", "id", "rank")
-    words = retrieval.bm25(chunks, queries, k).select("qid", "id", "rank")
-    han = queries.filter(F.col("query").rlike(V.CJK)).select("qid", "query")
-    paths = [(near, V.WEIGHTS["base"]), (words, V.WEIGHTS["base"])]
-    if not han.isEmpty():
-        parts = retrieval.substring_bm25(chunks, han, k, "chunk_id", "code").select("qid", "id", "rank")
-        paths.append((parts, V.WEIGHTS["base"]))
+def parsed_expansion(reply: Column) -> Column:
+    """``(variants, hypothetical_code)`` of an expander's reply: the outermost JSON object, whatever stands around it, at most two
+    variants; null where there is none."""
+    body = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "variants array<string>, hypothetical_code string")
+    return F.when(body.isNotNull() & (body["variants"].isNotNull() | body["hypothetical_code"].isNotNull()), F.struct(F.slice(F.coalesce(body["variants"], F.array().cast("array<string>")), 1, 2).alias("variants"), C.text(body["hypothetical_code"]).alias("hypothetical_code")))
+
+
+def recall(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, variants: DataFrame | None = None) -> DataFrame:
+    """Fused candidates of ``queries`` (qid, query, qvec): nearest vectors, words, substrings where the query has Han signs, and
+    each half of a compound query with less weight. With ``variants`` (qid, variant, query, qvec; rewritten queries or hypothetical
+    code) the query's own lists weigh twice a variant's."""
+    base = V.WEIGHTS["base_expanded"] if variants is not None else V.WEIGHTS["base"]
+
+    def lists(asked: DataFrame, weight: float, vector: bool = True) -> list[tuple[DataFrame, float]]:
+        out = [(retrieval.knn(vectors, asked, k).select("qid", "id", "rank"), weight)] if vector else []
+        out.append((retrieval.bm25(chunks, asked, k).select("qid", "id", "rank"), weight))
+        han = asked.filter(F.col("query").rlike(V.CJK)).select("qid", "query")
+        if not han.isEmpty():
+            out.append((retrieval.substring_bm25(chunks, han, k, "chunk_id", "code").select("qid", "id", "rank"), weight))
+        return out
+
+    paths = lists(queries, base)
+    if variants is not None:
+        for (number,) in sorted(variants.select("variant").distinct().limit(3).collect()):
+            paths += lists(variants.filter(F.col("variant") == number), V.WEIGHTS["variant"])
+    halves = queries.select("qid", F.posexplode(C.compound_parts(F.col("query"))).alias("half", "query"))
+    if not halves.isEmpty():
+        for half in (0, 1):
+            paths += lists(halves.filter(F.col("half") == half).select("qid", "query"), V.WEIGHTS["sub"], vector=False)
     return retrieval.fuse(paths)
 
 
-def search(chunks: DataFrame, vectors: DataFrame, edges: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, edges: DataFrame, queries: DataFrame, options: Options = Options(), variants: DataFrame | None = None) -> DataFrame:
     """``(qid, rank, id, file_path, language, symbol, start_line, end_line, code, score, entity, relation)`` for every query.
 
     ``chunks`` is the stored corpus (see ``operators.corpus.clean``). Code joins only the candidates that are left after fusion.
     """
-    fused = cut(recall(chunks, vectors, queries, options.top_k))  # read three times below
+    fused = cut(recall(chunks, vectors, queries, options.top_k, variants))  # read three times below
     hits = intent_hits(queries, edges)
     candidates = scoring.inject(fused.filter(F.col("rank") <= options.top_k), hits).withColumn("rank", F.lit(0))
     full = candidates.join(chunks, candidates["id"] == chunks["chunk_id"]).join(queries.select("qid", "query"), "qid")
