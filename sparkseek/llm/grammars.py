@@ -35,7 +35,7 @@ overload <- !'a' 'a'
 classdecl <- 'abstract'? 'class' ID tparams? heritage {classbody}
 heritage <- ('extends' postfix targs?)? ('implements' type (',' type)*)?
 classbody <- (';' / '~nl~' / member)*
-member <- decorator* modifier* (methodname tparams? (|params|) rettype? ({block} / overload) / key optional typeann? ('=' assign)? (';' / '~nl~' / END / &'}') / 'static' {block} / [indexsig] typeann)
+member <- 'static' {block} / decorator* modifier* (methodname tparams? (|params|) rettype? ({block} / overload) / key optional typeann? ('=' assign)? (';' / '~nl~' / END / &'}') / [indexsig] typeann)
 modifier <- ('static' / 'async' / 'get' / 'set' / '*' / 'accessor' / tsmodifier) !('(' / '=' / ';' / '~nl~' / ',' / END / (|params|))
 tsmodifier <- !'a' 'a'
 methodname <- key optional
@@ -73,7 +73,7 @@ objlit <- '~nl~'* (prop (',' '~nl~'* prop)* ','?)? '~nl~'*
 prop <- '...' assign / propmod* key tparams? (|params|) rettype? {block} / key ':' assign / ID ('=' assign)?
 propmod <- ('get' / 'set' / 'async' / '*') !(':' / ',' / (|params|) / '=' / END)
 params <- '~nl~'* (param (',' param)* ','?)? '~nl~'*
-param <- decorator* tsmodifier? '...'? (target / 'this') optional typeann? ('=' assign)?
+param <- decorator* tsmodifier* '...'? (target / 'this') optional typeann? ('=' assign)?
 target <- ID / {pattern} / [elempattern]
 pattern <- '~nl~'* (pprop (',' pprop)* ','?)? '~nl~'*
 pprop <- '...' target / key ':' target ('=' assign)? / ID ('=' assign)?
@@ -95,7 +95,7 @@ tsmodifier <- 'public' / 'private' / 'protected' / 'readonly' / 'abstract' / 'ov
 optional <- ('?' / '!')?
 tsonly <- 'type'
 tsas <- !'a' 'a'
-tssuffix <- '!' !'=' / ('as' / 'satisfies') type / targs &(|args|)
+tssuffix <- '!' !'=' / 'as' 'const' / ('as' / 'satisfies') type / targs &(|args|)
 typeann <- ':' type
 rettype <- ':' ('asserts' ID ('is' type)? / (ID / 'this') 'is' type / type)
 tparams <- '<' tparam (',' tparam)* ','? '>'
@@ -104,7 +104,7 @@ targs <- '<' type (',' type)* ','? '>'
 type <- ('|' / '&')? tpost (('|' / '&') tpost)* ('extends' type '?' type ':' type)?
 tpost <- tprim [tindex]*
 tindex <- type?
-tprim <- tparams? (|params|) '=>' (ID 'is' type / type) / 'new' tparams? (|params|) '=>' type / ('keyof' / 'readonly' / 'unique' / 'infer') tpost / 'typeof' ID ('.' NAME)* targs? / 'import' (|args|) ('.' NAME)* targs? / ID ('.' NAME)* targs? / STR / '-'? NUM / 'null' / 'void' / 'true' / 'false' / 'this' / {typebody} / [tuple] / (|type|)
+tprim <- tparams? (|params|) '=>' (ID 'is' type / type) / 'new' tparams? (|params|) '=>' type / ('keyof' / 'readonly' / 'unique' / 'infer') tpost / 'typeof' ('import' (|args|) / ID / 'this') ('.' NAME)* targs? / 'import' (|args|) ('.' NAME)* targs? / ID ('.' NAME)* targs? / STR / '-'? NUM / 'null' / 'void' / 'true' / 'false' / 'this' / {typebody} / [tuple] / (|type|)
 tuple <- '~nl~'* (telem (',' telem)* ','?)? '~nl~'*
 telem <- '...'? (NAME '?'? ':')? type '?'?
 typebody <- tsep* (tmember (tsep+ tmember)* tsep*)?
@@ -112,7 +112,7 @@ tsep <- ';' / ',' / '~nl~'
 tmember <- '-'? 'readonly'? [mapped] ('+' / '-')? '?'? ':' type / ('get' / 'set')? key '?'? tparams? (|params|) rettype? / 'readonly'? key '?'? typeann? / 'new'? tparams? (|params|) rettype?
 mapped <- ID ':' type / ID 'in' type ('as' type)?
 indexsig <- ID ':' type
-tsdecl <- 'declare' (tsdecl / funcdecl / classdecl / vars eos) / 'interface' ID tparams? ('extends' type (',' type)*)? {typebody} / 'type' ID tparams? '=' type eos / 'const'? 'enum' ID {enumbody} / ('namespace' / 'module') (ID ('.' NAME)* / STR) ({block} / {modulebody}) / 'abstract' classdecl / 'import' ID '=' postfix eos
+tsdecl <- 'declare' (tsdecl / funcdecl / classdecl / vars eos / ID ({block} / {modulebody})) / 'interface' ID tparams? ('extends' type (',' type)*)? {typebody} / 'type' ID tparams? '=' type eos / 'const'? 'enum' ID {enumbody} / ('namespace' / 'module') (ID ('.' NAME)* / STR) ({block} / {modulebody}) / 'abstract' classdecl / 'import' ID '=' postfix eos
 modulebody <- item*
 enumbody <- '~nl~'* ((NAME / STR) ('=' assign)? (',' '~nl~'* (NAME / STR) ('=' assign)?)* ','?)? '~nl~'*
 """
