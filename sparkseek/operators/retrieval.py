@@ -20,15 +20,27 @@ def top_per_query(scored: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def _packed(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (id, v) as blocks (ids, matrix, dim) of up to ``block`` vectors, made where the rows are."""
+#: Rounded distances have this step; rows that may round to one value are told apart by their ids.
+STEP = 1e-6
+
+
+def _packed(rows: DataFrame, block: int, copies: int | None = None) -> DataFrame:
+    """Rows (id, v) as blocks (ids, matrix, dim) of up to ``block`` vectors, made where the rows are. ``copies``: equal vectors of a
+    block keep only so many, those of the smallest ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for s in range(0, len(pdf), block):
                 part = pdf.iloc[s : s + block]
                 m = np.stack(part["v"].to_numpy()).astype(np.float64)
-                yield pd.DataFrame({"ids": [part["id"].to_numpy().astype(np.int64).tobytes()], "matrix": [m.tobytes()], "dim": [m.shape[1]]})
+                ids = part["id"].to_numpy().astype(np.int64)
+                if copies is not None:
+                    order = np.argsort(ids, kind="stable")
+                    ids, m = ids[order], m[order]
+                    same = pd.Series([x.tobytes() for x in m])
+                    kept = (same.groupby(same).cumcount() < copies).to_numpy()
+                    ids, m = ids[kept], m[kept]
+                yield pd.DataFrame({"ids": [ids.tobytes()], "matrix": [m.tobytes()], "dim": [m.shape[1]]})
 
     return rows.mapInPandas(run, "ids binary, matrix binary, dim int")
 
@@ -37,27 +49,34 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id"
     """``(qid, id, dist, rank)``: the exact ``k`` nearest by Euclidean distance; ties go to the smaller id.
 
     ``queries`` (qid, qvec) is a stated set, run against all rows in blocks: every block of vectors meets every block of queries as
-    two matrices, and only the best few of a query leave it. Nothing passes through the driver; Spark broadcasts the query blocks
-    if they are small and otherwise pairs the blocks by a distributed product.
+    two matrices. Of a block's equal vectors the ``k`` smallest ids take part. Every row whose distance may round to the ``k``-th of
+    its block or less is measured again in the reference's order of sums, however many tie there, and the window keeps ``k`` of them
+    by (distance, id). Nothing passes through the driver; Spark broadcasts the query blocks if they are small and otherwise pairs the
+    blocks by a distributed product.
     """
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                q = np.frombuffer(r.qmatrix).reshape(-1, r.dim)
+                all_q = np.frombuffer(r.qmatrix).reshape(-1, r.dim)
                 x = np.frombuffer(r.matrix).reshape(-1, r.dim)
                 qids, ids = np.frombuffer(r.qids, dtype=np.int64), np.frombuffer(r.ids, dtype=np.int64)
-                d = (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T
-                most = min(k + 16, d.shape[1])  # some more than k, as the exact distance decides
-                keep = np.argpartition(d, most - 1, axis=1)[:, :most]
-                yield pd.DataFrame({"qid": np.repeat(qids, most), "id": ids[keep].ravel(), "d": np.take_along_axis(d, keep, 1).ravel()})
-
-    rows = _packed(vectors.select(F.col(id_col).alias("id"), F.col("embedding").alias("v")), 8_192)
+                at = min(k, len(x)) - 1
+                for s in range(0, len(all_q), 128):
+                    q = all_q[s : s + 128]
+                    norms = (q**2).sum(1)[:, None] + (x**2).sum(1)[None]
+                    d = norms - 2 * q @ x.T
+                    off = 8 * (r.dim + 8) * np.finfo(np.float64).eps * norms  # most that the expanded form is off by
+                    kth = np.partition(np.sqrt(np.maximum(d + off, 0)), at, axis=1)[:, at : at + 1]
+                    i, j = np.nonzero(np.sqrt(np.maximum(d - off, 0)) <= kth + 2 * STEP)
+                    squares = np.zeros(len(i))
+                    for c in range(r.dim):
+                        squares += (x[j, c] - q[i, c]) ** 2
+                    yield pd.DataFrame({"qid": qids[s + i], "id": ids[j], "d": np.sqrt(squares)})
+
+    rows = _packed(vectors.select(F.col(id_col).alias("id"), F.col("embedding").alias("v")), 8_192, k)
     asked = _packed(queries.select(F.col("qid").alias("id"), F.col("qvec").alias("v")), 1_024).select(F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"))
-    close = top_per_query(rows.crossJoin(asked).mapInPandas(nearest, "qid long, id long, d double"), k + 16, [F.col("d"), F.col("id")])
-    # the few candidates are measured again, as the reference order is by that value
-    exact = close.select("qid", "id").join(vectors.select(F.col(id_col).alias("id"), "embedding"), "id").join(queries.select("qid", "qvec"), "qid")
-    measured = exact.select("qid", "id", F.round(C.l2_distance(F.col("embedding"), F.col("qvec")), 6).alias("dist"))
+    measured = rows.crossJoin(asked).mapInPandas(nearest, "qid long, id long, d double").select("qid", "id", F.round("d", 6).alias("dist"))
     return top_per_query(measured, k, [F.col("dist"), F.col("id")])
 
 

@@ -74,6 +74,18 @@ def test_knn_is_exact_with_ties(spark):
         assert [got[q, r] for r in range(1, 6)] == order[:5]
 
 
+def test_knn_keeps_the_smallest_ids_of_many_ties(spark):
+    rng = np.random.default_rng(2)
+    one = [[float(s * (i == j)) for j in range(64)] for i in range(64) for s in (1, -1)]  # 128 vectors, all as far from 0
+    ids = rng.permutation(1_000).tolist()
+    rows = [(ids[i], one[i % 128] if i < 600 else [0.5] * 64) for i in range(1_000)]  # and a group of 400 equal vectors
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [0.0] * 64), (2, [0.5] * 64)], "qid long, qvec array<double>")
+    got = {(r.qid, r.rank): r.id for r in retrieval.knn(df, asked, 5).collect()}
+    assert [got[1, r] for r in range(1, 6)] == sorted(ids[:600])[:5]
+    assert [got[2, r] for r in range(1, 6)] == sorted(ids[600:])[:5]
+
+
 def test_fusion_orders_ties_by_first_list(spark):
     lists = [[(1, 1), (2, 2)], [(1, 1), (3, 2)], [(9, 1), (8, 2)]]
     frames = [spark.createDataFrame([(7, i, r) for i, r in part], "qid long, id long, rank int") for part in lists]
