@@ -1,9 +1,9 @@
 """p7: evaluation texts inside training texts, by template canonicalisation and a hash join of template windows.
 
 Texts are reduced to words without case, markup, punctuation, line prefixes and layout (characters for Han script).
-Numbers, names and units become typed placeholders, and every window of five such words (eight Han characters) is
-hashed. The windows of all documents are joined with those of the items; pairs that share enough windows are aligned
-word by word. The slots under the placeholders are compared along the alignment: equal slots make a copy, slots renamed
+Numbers, names and units become typed placeholders, and every window of five such words is hashed; a Han character is a
+word, so windows are the same in texts of mixed scripts. The windows of all documents are joined with those of the items;
+pairs that share as many as any run within the exchange tolerance keeps (``least_hits``) are aligned word by word. The slots under the placeholders are compared along the alignment: equal slots make a copy, slots renamed
 one-to-one make a re-parameterised copy, other slots count as exchanged words.
 
 How the work is laid out
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import itertools
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -32,19 +33,16 @@ from pyspark.sql import functions as F
 
 from sparkseek.session import broadcast_if_small, cut
 
-#: Words of a window, Han characters of a window, fewest words of an item.
-WINDOW, HAN_WINDOW, MIN_WORDS = 5, 8, 12
+#: Words (or Han characters) of a window, fewest words of an item.
+WINDOW, MIN_WORDS = 5, 12
 #: Items whose windows are broadcast together.
 BLOCK_ITEMS = 2_000
-#: Share of an item's windows that a candidate has to hold; a run of 40 % with every tenth word exchanged keeps 20 %.
-CANDIDATE = 0.15
 #: Share of an item's words that a leaked run has, exchanged words within it, and how far the alignment may drift.
 LEAKED, EXCHANGED, DRIFT = 0.4, 0.1, 4
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--|-->")
 _PREFIX = re.compile(r"^[ \t]*(?:(?:[>|*+#;%-]|//|--)+[ \t]*)*(?:[A-Za-z]?\d+[.:)|\]]+[ \t]+)?", re.M)
 _WORD = re.compile(r"[㐀-鿿豈-﫿]|[^\W_㐀-鿿豈-﫿]+(?:_+[^\W_㐀-鿿豈-﫿]+)*")
-_HAN = re.compile(r"[㐀-鿿豈-﫿]")
 _UNITS = frozenset("ms s sec secs second seconds minute minutes hour hours day days week weeks byte bytes kb mb gb tb percent rows row lines line tage tag zeilen minuten sekunden prozent".split())
 
 
@@ -94,20 +92,38 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def window_hashes(tokens: list[str]) -> np.ndarray:
-    """The hash of the template window that begins at each word (Han texts take longer windows)."""
-    han = bool(tokens) and max(tokens) >= "㐀" and sum(1 for w in tokens if len(w) == 1 and _HAN.match(w)) * 2 > len(tokens)
-    width = HAN_WINDOW if han else WINDOW
-    if len(tokens) < width:
+    """The hash of the template window that begins at each word."""
+    if len(tokens) < WINDOW:
         return np.zeros(0, dtype=np.int64)
     codes = _CODES.of(tokens, typed=True)
-    n = len(codes) - width + 1
+    n = len(codes) - WINDOW + 1
     out = np.zeros(n, dtype=np.uint64)
-    for i in range(width):
+    for i in range(WINDOW):
         out = (out ^ codes[i : i + n]) * _MIX
         out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
 
+def least_hits(n: int, repeated: int = 0) -> int:
+    """The fewest different windows of an item of ``n`` words that a leaked run shares with it, wherever its exchanged words stand:
+    each takes WINDOW windows at most. ``repeated``: windows of the item that occur before."""
+    runs = range(math.ceil(LEAKED * n - 1e-9), n + 1)
+    return max(1, min(size - WINDOW + 1 - WINDOW * int(EXCHANGED * size + 1e-9) for size in runs) - repeated)
+
+
+def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The different template windows of each item that is long enough, and how many of them a candidate has to hold."""
+    for pdf in batches:
+        out = []
+        for item_id, text in zip(pdf["item_id"], pdf["item_text"], strict=True):
+            tokens = words(text)
+            if len(tokens) >= MIN_WORDS:
+                hashes = window_hashes(tokens)
+                different = np.unique(hashes)
+                out.append((item_id, different, least_hits(len(tokens), len(hashes) - len(different))))
+        yield pd.DataFrame(out, columns=["item_id", "windows", "least"])
+
+
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The different template windows of each text."""
     for pdf in batches:
@@ -222,10 +238,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     out = None
     for (block,) in sorted(wanted.select("block").distinct().collect()):
         own = wanted.filter(F.col("block") == block).select("item_id", "item_text")
-        there = own.select(F.col("item_id").alias("id"), F.col("item_text").alias("text")).mapInPandas(_windows, "id long, windows array<long>")
-        there = there.filter(F.size("windows") >= MIN_WORDS - WINDOW + 1).select(F.col("id").alias("item_id"), F.size("windows").alias("n"), F.explode("windows").alias("h"))
+        there = own.mapInPandas(_item_windows, "item_id long, windows array<long>, least long").select("item_id", "least", F.explode("windows").alias("h"))
         hits = windows.select("id", F.explode("windows").alias("h")).join(F.broadcast(there), "h")
-        pairs = hits.groupBy("id", "item_id").agg(F.count("*").alias("hits"), F.max("n").alias("n")).filter(F.col("hits") >= CANDIDATE * F.col("n"))
+        pairs = hits.groupBy("id", "item_id").agg(F.count("*").alias("hits"), F.min("least").alias("least")).filter(F.col("hits") >= F.col("least"))
         # pairs of ids only; written once, as they are counted and then joined
         pairs = cut(pairs.select("id", "item_id"))
         candidates = docs.join(broadcast_if_small(pairs), "id").join(F.broadcast(own), "item_id")

@@ -26,6 +26,20 @@ def test_copies_in_any_dress(spark):
     assert leaks(spark, docs) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 1)}
 
 
+def test_exchanged_signs_and_mixed_scripts(spark):
+    w = ITEM.split()
+    zh = [c if i % 10 != 9 else "某" for i, c in enumerate(ZH[5:37])]
+    run = WORDS[5:17]
+    run[6] = "other"
+    docs = [(1, "文" * 30 + "".join(zh) + "字" * 30), (2, f"{OTHER} {ZH[5:45]} {OTHER}"), (3, "文" * 200 + " " + " ".join(w[10:40]) + " " + "字" * 200), (4, f"{OTHER} {' '.join(run)} {OTHER}")]
+    assert leaks(spark, docs, [(1, ITEM), (2, ZH), (3, " ".join(WORDS[:30]))]) == {(1, 2), (2, 2), (3, 1), (4, 3)}
+
+
+def test_fewest_windows_of_a_leaked_run():
+    # 12 words: a run of 5 whole ones; 25: 10 with one exchanged; 80: 32 with three
+    assert [L.least_hits(n) for n in (12, 25, 80)] == [1, 1, 13] and L.least_hits(80, 20) == 1
+
+
 def test_what_is_no_leak(spark):
     w = ITEM.split()
     half = [x if i % 2 else "new" for i, x in enumerate(w)]
