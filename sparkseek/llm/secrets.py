@@ -2,9 +2,11 @@
 
 A chunk is searched for (a) values whose form alone gives them away (vendor tokens, signed web tokens, private keys, passwords
 in URLs), (b) literals given to a name, argument, option, header or sentence that says it is a secret, and (c) random values in
-files whose path says that they hold secrets. Every literal that may be base64, hex, percent-encoded or escaped is decoded,
-up to LAYERS deep, and what comes out is searched again; binary results are parsed as key containers (DER private keys,
-OpenSSH keys). A finding inside an encoded literal counts for the enclosing literal, which is masked as a whole.
+files whose path says that they hold secrets. Literals put together from parts, or wrapped over lines, are read as one. Every
+literal that may be base64, hex, percent-encoded or escaped is decoded, whatever its length, and what comes out is searched again
+until nothing decodes any more: each layer is shorter than the one around it, so this ends, in time linear in the literal. Binary
+results are parsed by their grammars as key containers (PKCS#1, PKCS#8 plain and encrypted, SEC 1, DSA, PKCS#12, OpenSSH, Java key
+stores). A finding inside an encoded literal counts for the enclosing literal, which is masked as a whole.
 
 Masking replaces each character of the value by ``*``; quotes, armour lines, escapes and line ends stay, so the code keeps its
 length, lines and syntax.
@@ -19,8 +21,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
@@ -29,9 +33,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded layers that are opened.
-LAYERS = 4
-
 #: Published forms of vendor tokens (fixed values).
 TOKEN = re.compile(
     r"(?<![A-Za-z0-9_])(?:"
@@ -42,8 +43,13 @@ TOKEN = re.compile(
 )
 _TOKEN_STARTS = ("gh", "glpat-", "k_live_", "AKIA", "ASIA", "AIza", "xox", "npm_", "SG.", "eyJ", "dop_v1_", "hf_", "pypi-", "sq0", "ya29.")
 KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: What a key's body holds, also inside literals, up to where it ends without an end line.
+KEY_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s\"'+,]|\\[nr])*")
 KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-URL_LOGIN = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@\"'`<>]*:([^\s/@\"'`]+)@")
+PPK = re.compile(r"^PuTTY-User-Key-File-\d:.*?^Private-Lines:[ \t]*(\d+)[ \t]*\r?\n", re.M | re.S)
+JWK = re.compile(r"\{[^{}]*[\"']kty[\"'][^{}]*\}")
+JWK_PRIVATE = re.compile(r"[\"'](?:d|k)[\"']\s*:\s*[\"']([A-Za-z0-9_-]{16,})[\"']")
+URL_LOGIN = re.compile(r"(?<![a-zA-Z0-9+.-])[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@\"'`<>]*:([^\s/@\"'`]+)@")
 
 #: Words a secret's name ends in, and the words that may still follow (fixed vocabulary).
 _SECRET_END = r"(?:pass(?:word|wd|phrase|code)?|pwd|pw|secrets?|token|api[_-]?key|credentials?|private[_-]?key|(?:signing|access|secret|encryption|master|service|auth|shared|deploy|ssh|license|account|storage)[_-]?key|auth(?:orization|entication)?|identity|signing|pem|login|passwort|kennwort|contraseña|clave|密码|密钥|口令)"
@@ -55,9 +61,10 @@ HARMLESS_NAME = re.compile(r"(?:^|_)(?:digest|hash|sha\d*|md5|checksum|etag|comm
 
 _STR = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
 STRING = re.compile(_STR)
-_JOINED = re.compile(rf"{_STR}(?:\s*(?:\+|\.\.|\|\||&|\\\n)\s*{_STR}|[ \t]*\n?[ \t]+(?=\"){_STR})*")
+#: Where two literals are one: an operator or only space between them, or a line that goes on.
+_JOIN = re.compile(r"([\"'`])\s*(?:\+|\.\.?|\|\||&|\\\r?\n)?\s*\1|\\\r?\n[ \t]*")
 #: name (:= | = | : | => | ,) "literal"
-NAMED = re.compile(rf"([\w$.\-]*[A-Za-z_\w$\-]+)[\"'`]?\]?\s*(?::\s*[\w.\[\]<>| ]+?\s*)?(?::=|=>|=(?!=)|:|,)\s*(?:[brufBRUF]{{1,2}}(?=[\"']))?({_STR}(?:\s*\+\s*{_STR})*)")
+NAMED = re.compile(rf"(?<![\w$.\-])([\w$.\-]*[\w$\-])[\"'`]?\]?\s*(?::\s*[\w.\[\]<>| ]+?\s*)?(?::=|=>|=(?!=)|:|,)\s*(?:[brufBRUF]{{1,2}}(?=[\"']))?({_STR})")
 BARE = re.compile(r"^\s*(?:export\s+|set\s+|-\s+|ENV\s+)?[\"']?([A-Za-z_][\w.\-]*)[\"']?\s*[:=]\s*([^\s\"'`{\[(<$#][^\s\"'`]*)\s*(?:#.*)?\r?$")
 DEFINE = re.compile(rf"^\s*#\s*define\s+(\w+)\s+({_STR})")
 LOGIN_CALL = re.compile(rf"\b\w*(?:login|log_in|sign_?in|authenticate|basic_?auth|set_?credentials)\s*\(\s*{_STR}\s*,\s*({_STR})", re.I)
@@ -80,8 +87,11 @@ _PATH_DIRECTORY = re.compile(r"(?:^|/)(?:secrets?|credentials?)/[^/]*$|(?:^|/)(?
 _PLAIN_FILE = re.compile(r"\.(?:ya?ml|properties|toml|env|ini|cfg|conf|cnf|txt|md|sh|bash|netrc)$|(?:^|/)(?:Dockerfile|\.env[\w.]*|\.netrc|credentials)$", re.I)
 _RANDOM = re.compile(r"^[A-Za-z0-9+/_=-]{20,}$")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_PERCENT = re.compile(r"(?:[\w.~-]*%[0-9A-Fa-f]{2}){3,}[\w.~%-]*")
-_ESCAPED = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}){4,}")
+#: A literal wrapped over lines, or with escaped line ends.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:(?:\\[nr]|[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]{4,})+={0,2}")
+_GAP = re.compile(r"\\[nr]|\s")
+_PERCENT = re.compile(r"(?<![\w.~%-])(?:[\w.~-]*%[0-9A-Fa-f]{2}){3,}[\w.~%-]*")
+_ESCAPED = re.compile(r"(?:[\w+/=.:-]?\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}){4,}[\w+/=]*")
 _TRIGGERS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "cred", "login", "signin", "sign_in", "identity", "signing", "pem", "bearer", "basic ", "identified", "-u ", "--user", "kennwort", "clave", "contrase", "密码", "密钥", "口令")
 
 
@@ -115,40 +125,100 @@ def strong(value: str, sure: bool = False) -> bool:
     return classes >= 2 or len(value) >= 12
 
 
-def der_private_key(data: bytes) -> bool:
-    """True if the bytes are a private key by the grammar of PKCS#1, PKCS#8, SEC 1 or the OpenSSH container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-
-    def element(at: int) -> tuple[int, int, int] | None:  # tag, start, end
-        if at + 2 > len(data):
+def elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the DER elements that fill data[at:end] exactly; None if they don't."""
+    out = []
+    while at < end:
+        if at + 2 > end:
             return None
         tag, size, at = data[at], data[at + 1], at + 2
         if size & 0x80:
             n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data):
+            if not 1 <= n <= 4 or at + n > end:
                 return None
             size, at = int.from_bytes(data[at : at + n], "big"), at + n
-        return (tag, at, at + size) if at + size <= len(data) else None
+        if at + size > end:
+            return None
+        out.append((tag, at, at + size))
+        at += size
+    return out
+
+
+#: Object identifiers, as bytes: password-based encryption (PKCS#5, PKCS#12), and the content types of a PKCS#12 store (fixed values).
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+_CONTENT = (bytes.fromhex("2a864886f70d010701"), bytes.fromhex("2a864886f70d010702"))
+
+
+def der_private_key(data: bytes) -> bool:
+    """True if the bytes are a private key or key store by the whole grammar of PKCS#1, PKCS#8, EncryptedPrivateKeyInfo, SEC 1, DSA
+    or PKCS#12."""
+    if data[:1] != b"\x30":
+        return False
+    outer = elements(data, 0, len(data))
+    if not outer or len(outer) != 1:
+        return False
+    parts = elements(data, outer[0][1], outer[0][2])
+    if not parts or len(parts) < 2:
+        return False
+    tags = [t for t, _, _ in parts]
+
+    def inner(i: int) -> list[tuple[int, int, int]]:
+        return elements(data, parts[i][1], parts[i][2]) or []
+
+    def identifier(i: int) -> bytes:
+        own = inner(i)
+        return data[own[0][1] : own[0][2]] if own and own[0][0] == 0x06 else b""
+
+    if tags == [0x30, 0x04]:
+        return identifier(0).startswith(_PBE) and parts[1][2] - parts[1][1] >= 16
+    if tags[0] != 0x02 or parts[0][2] - parts[0][1] != 1:
+        return False
+    number = data[parts[0][1]]
+    whole = all(t == 0x02 and b > a for t, a, b in parts)
+    if number in (0, 1) and whole and len(parts) in (6, 9):
+        return True  # DSA, PKCS#1
+    if number == 1 and tags[:9] == [0x02] * 9 and tags[9:] == [0x30]:
+        return True  # PKCS#1 of several primes
+    if number in (0, 1) and tags[1:3] == [0x30, 0x04]:
+        return bool(identifier(1)) and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
+    if number == 1 and tags[1] == 0x04:
+        return parts[1][2] - parts[1][1] >= 20 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    return number == 3 and tags[1] == 0x30 and tags[2:] in ([], [0x30]) and identifier(1) in _CONTENT
+
+
+def openssh_key(data: bytes) -> bool:
+    """True if the bytes are an OpenSSH key container, every field read by its length to the end."""
+    if not data.startswith(b"openssh-key-v1\0"):
+        return False
+    at, fields = 15, []
+
+    def field() -> bytes | None:
+        nonlocal at
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or at + 4 + size > len(data):
+            return None
+        at += 4 + size
+        return data[at - size : at]
 
-    outer = element(0)
-    if not outer or outer[0] != 0x30:
+    for _ in range(3):
+        fields.append(field())
+    if None in fields or not re.fullmatch(rb"[\w@.-]+", fields[0]) or not re.fullmatch(rb"[\w@.-]+", fields[1]):
         return False
-    version = element(outer[1])
-    if not version or version[0] != 0x02 or version[2] - version[1] != 1:
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= 1_000 or any(field() is None for _ in range(keys)):
         return False
-    parts, at = [], version[2]
-    while at < outer[2]:
-        part = element(at)
-        if part is None:
-            return False
-        parts.append(part[0])
-        at = part[2]
-    number = data[version[1]]
-    pkcs1 = number in (0, 1) and len(parts) >= 5 and all(t == 0x02 for t in parts[:5])
-    pkcs8 = number in (0, 1) and parts[:2] == [0x30, 0x04]
-    sec1 = number == 1 and parts[:1] == [0x04]
-    return pkcs1 or pkcs8 or sec1
+    private = field()
+    return bool(private) and at == len(data) and (fields[0] != b"none" or private[:4] == private[4:8])
+
+
+def java_store(data: bytes) -> bool:
+    """True if the bytes are a Java key store whose first entry is a private key."""
+    return data[:4] == b"\xfe\xed\xfe\xed" and int.from_bytes(data[4:8], "big") in (1, 2) and len(data) > 16 and data[8:12] != b"\0\0\0\0" and data[12:16] == b"\0\0\0\1"
+
+
+def key_container(data: bytes) -> bool:
+    return der_private_key(data) or openssh_key(data) or java_store(data)
 
 
 def decodings(literal: str) -> Iterator[bytes]:
@@ -172,25 +242,55 @@ def decodings(literal: str) -> Iterator[bytes]:
 
 
 def readable(data: bytes) -> str | None:
-    """The bytes as text if they are printable."""
-    if len(data) < 6 or (data[:1] and data[0] >= 0x80):
+    """The bytes as text if they are printable; text of two bytes a sign is read too."""
+    if len(data) < 6:
+        return None
+    if len(data) % 2 == 0 and data[1] == 0 and not any(data[1::2]):
+        data = data[::2]
+    if data[0] >= 0x80 or (len(data) > 64 and max(data[:64]) >= 0xF5):
         return None
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text if all(c.isprintable() or c in "\r\n\t" for c in text) else None
+    return text if text.isprintable() or all(c.isprintable() or c in "\r\n\t" for c in text) else None
 
 
-def encoded_secret(literal: str, depth: int = 0) -> bool:
-    """True if a literal hides a secret of telling form under one or more encodings."""
-    if depth >= LAYERS or len(literal) < 12:
+def literals(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of what may be encoded in a text: runs, runs wrapped over lines, percent-encoded and escaped stretches."""
+    for m in _WRAPPED.finditer(text):
+        yield m.span()
+    for m in _ENCODED.finditer(text):
+        yield m.span()
+    if "%" in text:
+        for m in _PERCENT.finditer(text):
+            yield m.span()
+    if "\\" in text:
+        for m in _ESCAPED.finditer(text):
+            yield m.span()
+
+
+def layers(literal: str) -> Iterator[bytes]:
+    """What a literal gives when decoded, and what the literals in that give, layer by layer. Every layer is shorter than the one
+    around it, so there is no bound on their number."""
+    todo = [_GAP.sub("", literal)]
+    while todo:
+        for data in decodings(todo.pop()):
+            yield data
+            text = readable(data)
+            if text:
+                todo += [_GAP.sub("", text[a:b]) for a, b in literals(text)]
+
+
+def encoded_secret(literal: str) -> bool:
+    """True if a literal hides a key container, or a text of telling form, under one or more encodings."""
+    if len(literal) < 12:
         return False
-    for data in decodings(literal):
-        if der_private_key(data):
+    for data in layers(literal):
+        if key_container(data):
             return True
         text = readable(data)
-        if text and text != literal and (telling(text) or any(encoded_secret(m.group(), depth + 1) for m in _ENCODED.finditer(text)) or (_PERCENT.search(text) and encoded_secret(text, depth + 1))):
+        if text and text != literal and telling(text):
             return True
     return False
 
@@ -199,7 +299,7 @@ def telling(text: str) -> bool:
     """True if a decoded text is itself evidence: a token, private key, login URL, or a named strong value."""
     if any(s in text for s in _TOKEN_STARTS) and any(not placeholder(m.group()) for m in TOKEN.finditer(text)):
         return True
-    if KEY_BEGIN.search(text) or any(not placeholder(m.group(1)) for m in URL_LOGIN.finditer(text)):
+    if KEY_BEGIN.search(text) or PPK.search(text) or any(JWK_PRIVATE.search(m.group()) for m in JWK.finditer(text)) or any(not placeholder(m.group(1)) for m in URL_LOGIN.finditer(text)):
         return True
     return any(SECRET_NAME.search(m.group(2)) and strong(m.group(4)) for m in PAIR.finditer(text)) or any(SECRET_NAME.search(m.group(1)) and strong(m.group(2)[1:-1]) for m in NAMED.finditer(text))
 
@@ -222,7 +322,7 @@ def named_secret(name: str, value: str) -> bool:
         return basic_or_bearer(header)
     if _PUBLIC.search(value) or KEY_BEGIN.search(value):
         return False
-    return strong(value) or any(text and strong(text) for text in map(readable, decodings(value)))
+    return strong(value) or any(text and strong(text) for text in map(readable, layers(value)))
 
 
 _PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE)|^ssh-(?:rsa|ed25519) ")
@@ -292,37 +392,47 @@ def find(code: str, path: str | None = None) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     # (a) telling forms, wherever they stand; parts joined by + are read as one
     text, at = _unjoin(code)
+    place = lambda a, b: (at(a), at(max(a, b - 1)) + 1)
+    images = [m.span() for m in _IMAGE_DATA.finditer(text)] if "base64," in text or "sha" in text else []
     if any(s in text for s in _TOKEN_STARTS):
         for m in TOKEN.finditer(text):
-            if not placeholder(m.group()) and not _in_image(text, m.start()):
-                spans.append((at(m.start()), at(m.end() - 1) + 1))
+            if not placeholder(m.group()) and not _within(images, m.start()):
+                spans.append(place(*m.span()))
     if "PRIVATE KEY" in text:
         for m in KEY_BEGIN.finditer(text):
             end = KEY_END.search(text, m.end())
-            body = text[m.end() : end.start() if end else m.end() + 4_000]
+            last = end.end() if end else KEY_BODY.match(text, m.end()).end()
+            body = text[m.end() : end.start() if end else last]
             if re.search(r"[A-Za-z0-9+/]{16,}", body) or not body.strip():
-                last = end.end() if end else m.end() + (re.match(r"(?:[A-Za-z0-9+/=\s\"'+,]|\\n)*", body).end())
-                spans.append((at(m.start()), at(max(m.start(), last - 1)) + 1))
+                spans.append(place(m.start(), last))
+    if "Private-Lines" in text:
+        for m in PPK.finditer(text):
+            last = m.end()
+            for _ in range(int(m.group(1)[:6])):
+                last = text.find("\n", last) + 1 or len(text)
+            spans.append(place(m.end(), len(text[:last].rstrip())))
+    if "kty" in text:
+        spans += [place(m.start() + d.start(1), m.start() + d.end(1)) for m in JWK.finditer(text) for d in [JWK_PRIVATE.search(m.group())] if d]
     if "://" in text:
         for m in URL_LOGIN.finditer(text):
             if not placeholder(m.group(1)):
-                spans.append((at(m.start(1)), at(m.end(1) - 1) + 1))
-    # encoded literals
-    for m in _ENCODED.finditer(text):
-        if m.end() - m.start() < 4_000 and encoded_secret(m.group()) and not _in_image(text, m.start()):
-            spans.append((at(m.start()), at(m.end() - 1) + 1))
-    if "%" in text:
-        spans += [(at(m.start()), at(m.end() - 1) + 1) for m in _PERCENT.finditer(text) if encoded_secret(m.group())]
-    if "\\x" in text or "\\u00" in text or "\\1" in text or "\\0" in text:
-        spans += [(at(m.start()), at(m.end() - 1) + 1) for m in _ESCAPED.finditer(text) if encoded_secret(m.group())]
+                spans.append(place(*m.span(1)))
+    # encoded literals; one that lies in an encoded literal found before is not decoded again
+    done = 0
+    for a, b in sorted(set(literals(text)), key=lambda x: (x[0], -x[1])):
+        if b > done and not _within(images, a) and encoded_secret(text[a:b]):
+            spans.append(place(a, b))
+            done = b
     # (b), (c) names and notations, on the lines that mention any
     tells, plain = path_tells(path), bool(_PLAIN_FILE.search(path or ""))
-    low = code.lower()
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if tells or any(t in low for t in _TRIGGERS):
         start = 0
-        for line in code.split("\n"):
+        for line in text.split("\n"):
             if len(line) > 5 and (tells or any(t in low[start : start + len(line)] for t in _TRIGGERS)):
-                spans += [(start + a, start + b) for a, b in _line(line, tells, plain)]
+                spans += [place(start + a, start + b) for a, b in _line(line, tells, plain)]
             start += len(line) + 1
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -333,17 +443,18 @@ def find(code: str, path: str | None = None) -> list[tuple[int, int]]:
     return merged
 
 
-def _in_image(text: str, at: int) -> bool:
-    line = text.rfind("\n", 0, at) + 1
-    return bool(re.search(r"(?:data:[\w.+-]+/[\w.+-]+;base64,|sha\d+-)[A-Za-z0-9+/=]*$", text[max(line, at - 20_000) : at]))
+_IMAGE_DATA = re.compile(r"(?:data:[\w.+-]+/[\w.+-]+;base64,|sha\d+-)[A-Za-z0-9+/=]*", re.I)
 
 
-_JOIN = re.compile(r"([\"'`])\s*\+\s*\1")
+def _within(spans: list[tuple[int, int]], at: int) -> bool:
+    """True if a place stands in one of the spans, which are in order."""
+    i = bisect.bisect_right(spans, (at, sys.maxsize)) - 1
+    return i >= 0 and at < spans[i][1]
 
 
 def _unjoin(code: str):
-    """The code with literals joined by + made one, and the place of each of its characters in the code."""
-    if "+" not in code or not _JOIN.search(code):
+    """The code with the parts of literals made one, and the place of each of its characters in the code."""
+    if not _JOIN.search(code):
         return code, lambda i: i
     parts, moves, last, gone = [], [(0, 0)], 0, 0
     for m in _JOIN.finditer(code):
@@ -355,19 +466,21 @@ def _unjoin(code: str):
     starts = [s for s, _ in moves]
 
     def at(i: int) -> int:
-        import bisect
-
         return i + moves[bisect.bisect_right(starts, i) - 1][1]
 
     return "".join(parts), at
 
 
+#: What stays inside a masked span.
+_KEPT = re.compile(r"(-----(?:BEGIN|END) [A-Z0-9 ]+-----|\\[nrt]|[\"'`]\s*(?:\+|\.\.?|\|\||&|\\\r?\n)?\s*[\"'`]|\\?\r?\n[ \t]*|\r|^[\"'`]|[\"'`]$)")
+
+
 def mask(code: str, spans: list[tuple[int, int]]) -> str:
     """The code with the secrets masked; quotes, joins, armour lines, escapes and line ends inside a span stay."""
     out, last = [], 0
     for a, b in spans:
         out.append(code[last:a])
-        kept = re.split(r"(-----(?:BEGIN|END) [A-Z0-9 ]+-----|\\[nrt]|[\r\n]|^[\"'`]|[\"'`]\s*\+\s*[\"'`]|[\"'`]$)", code[a:b])
+        kept = _KEPT.split(code[a:b])
         out += [part if i % 2 else "*" * len(part) for i, part in enumerate(kept)]
         last = b
     out.append(code[last:])
