@@ -1,22 +1,27 @@
 """p5: generated, minified, vendored and data files among source code, by models of how names are written.
 
 A character trigram model of the identifiers of each language is counted over the whole corpus. Every file is then measured:
-    mangled     its names' cross-entropy under its own language's model stands far above the language's files, or most of its
-                names have one or two letters, on very long lines: minified or bundled code;
-    template    most names are members of numbered series (low diversity once numbers are taken off): generated code;
-    data        almost all characters stand on lines of literals: data stored as code;
+    mangled     its names' cross-entropy under its own language's model stands MANGLED_BITS above that of the language's median file:
+                minified or bundled code;
+    template    its names have low diversity (the perplexity of their trigrams, numbers taken as one, is under TEMPLATE of the
+                language's median file) and many share one frame (first word and number of words): generated code;
+    data        almost all characters stand on lines of literals, and few names stand in so large a file: data stored as code;
     foreign     its naming style (camel against snake case) is another than its repository's in that language, although its own
                 language's model still explains its names best: a vendored copy.
-What a file says of itself is read with it: a generator's notice at its top (not in a string, not denied), another project's
-licence or origin notice, and directories or names that package managers, bundlers and generators use for their output.
+What a file says of itself only adds to that: a generator's notice in its leading comment (not denied), another project's licence or
+origin notice, and directories or names that package managers, bundlers and generators use for their output.
 
 How the work is laid out
-    Chunks are measured where they are scanned; only trigram counts and one small row of measures per chunk are shuffled, never
-    code. The model sent to the tasks is bounded by the folded alphabet: at most 40^3 trigrams for each of the languages.
+    Chunks are measured where they are scanned, in two passes (counting, then measuring); only trigram counts and one small row of
+    measures per chunk are shuffled, never code, and the measures of the files are written once before they are compared. The model
+    sent to the tasks is bounded by the folded alphabet: at most 40^3 trigrams for each of the languages. A file's size is the
+    newest one in the table of files that is near the number of its characters, and that number otherwise.
 
 Defined cases
-    null, empty and blank code measures nothing; files of other extensions than LANGUAGES are no cases; repeated rows count once;
-    a null start line counts as 1; null paths are left out; a path that occurs twice is one file; other columns are ignored.
+    null, empty and blank code measures nothing; files of other extensions than LANGUAGES are no cases; repeated rows count once (in the model of names they weigh as often as they occur);
+    a null start line counts as 1; null paths are left out; a path that occurs twice is one file; a file without a row, or with a
+    null or wrong size, counts with its characters; no names are
+    mangled in a language of which the corpus holds too few (MODEL_GRAMS); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,23 +32,33 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkseek.operators.corpus import latest_fingerprints
+from sparkseek.session import cut
+
 #: Extension -> language of the files that are measured.
 LANGUAGES = {"py": "python", "java": "java", "go": "go", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "c": "c", "h": "c"}
-#: Lines longer than this are very long; shares from which a property holds for a file (parameters).
-LONG_LINE, MANGLED_SHORT, NUMBERED, DATA, FOREIGN = 500, 0.5, 0.27, 0.6, 0.6
-#: Robust deviations above the language's median cross-entropy from which names count as mangled.
-DEVIATIONS = 6.0
+#: Lines longer than this are very long (for banners and styles); shares from which data and foreign styles hold (parameters).
+LONG_LINE, DATA, FOREIGN = 500, 0.6, 0.6
+#: Bits per sign above the language's median file from which names count as mangled; share of the median diversity under which, and
+#: share of names in one frame above which, they count as template-like; fewest names for either verdict.
+MANGLED_BITS, TEMPLATE, FRAME, MANGLED_NAMES, TEMPLATE_NAMES = 3.0, 0.69, 0.12, 5, 10
+#: Bounds of the medians, for a language of which most files are minified or generated.
+MOST_BITS, LEAST_DIVERSITY = 3.5, 9.0
+#: Trigrams that a language's model needs before its cross-entropies say anything.
+MODEL_GRAMS = 2_000
+#: Names that a kilobyte of data stored as code has at most.
+DATA_NAMES = 8
 
 #: Literals and comments match without a group, names with one.
 _NAME = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|#[^\n]*|/\*.*?\*/|\d[\w$]*|([A-Za-z_$][\w$]*)", re.S)
 _DATA_LINE = re.compile(r"[\s\"'0-9a-fA-Fx.,+/=\[\](){}<>;:bru_-]*|[\s\"'`]*(?:b|r)?[\"'`]?[A-Za-z0-9+/=]{40,}[\"'`]?[\s,;+\\)]*")
-_NUMBERED = re.compile(r"[A-Za-z]_?\d+_?$")
+_DIGITS, _WORDS = re.compile(r"\d+"), re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 _CAMEL, _SNAKE = re.compile("[a-z][A-Z]"), re.compile("[a-z]_[a-z]")
-_CONFIG_LINE = re.compile(r"\s*[\w.-]+:(?:\s+\S.*)?$")
 
 #: How generators mark their output, in the first comment lines (fixed vocabulary, several languages).
 _GENERATED = re.compile(
@@ -62,7 +77,7 @@ _PATH_BUNDLED = re.compile(r"[.-](?:min|bundle|chunk)\.(?:js|mjs|cjs|jsx)$", re.
 
 def folded(name: str) -> str:
     """A name over the model's alphabet of at most 40 signs: lower case, one sign each for digits, capitals' starts and others."""
-    name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "^", name[:60])
+    name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "^", name)
     return re.sub(r"[^a-z_^0]", "?", re.sub(r"\d", "0", name.lower()))
 
 
@@ -128,11 +143,12 @@ class NameModel:
 
 
 def top_notes(code: str) -> tuple[bool, str, bool]:
-    """(generator's notice, whose licence notice, origin notice) of a file's first comment lines."""
+    """(generator's notice, whose licence notice, origin notice) of a file's leading comments, however long: up to its fourth line
+    of code."""
     generated, owner, origin = False, "", False
     block = False
     seen = 0
-    for line in code.split("\n")[:30]:
+    for line in code.split("\n"):
         text = line.strip()
         if not text:
             continue
@@ -146,7 +162,6 @@ def top_notes(code: str) -> tuple[bool, str, bool]:
             if seen > 3:
                 break
             continue
-        text = text[:400]
         if _GENERATED.search(text) and not _DENIED.search(text):
             generated = True
         found = _NOTICE.search(text)
@@ -156,20 +171,49 @@ def top_notes(code: str) -> tuple[bool, str, bool]:
     return generated, owner, origin
 
 
+class Measured:
+    """What is measured of one name, remembered by the worker."""
+
+    __slots__ = ("bits", "camel", "frame", "grams", "snake")
+
+    def __init__(self, model: NameModel, language: str, name: str) -> None:
+        self.bits = model.bits(language, name)
+        self.camel, self.snake = bool(_CAMEL.search(name)), bool(_SNAKE.search(name))
+        words = _WORDS.findall(name) if len(name) > 2 else ()
+        self.frame = (words[0].lower(), len(words)) if len(words) > 1 else None
+        self.grams = np.array([sum(_SIGN[c] * 40**i for i, c in enumerate(g)) for g in trigrams(_DIGITS.sub("0", name))], dtype=np.int32) if len(name) > 2 else None
+
+
+#: The folded alphabet and the padding, numbered.
+_SIGN = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz_^0?<>")}
+
+
+def diversity(own: list[Measured]) -> tuple[int, float, float]:
+    """(names, perplexity of their trigrams against the root of their number, share of the commonest frame), of names that are not
+    short. Names made from a template repeat their trigrams and their frame."""
+    grams = [m.grams for m in own if m.grams is not None]
+    if len(grams) < 4:
+        return 0, 0.0, 0.0
+    counts = np.unique(np.concatenate(grams), return_counts=True)[1]
+    total = int(counts.sum())
+    bits = math.log2(total) - float((counts * np.log2(counts)).sum()) / total
+    frames = Counter(m.frame for m in own if m.frame)
+    return len(grams), 2**bits / math.sqrt(total), max(frames.values(), default=0) / len(grams)
+
+
 def _measure(model_rows: list[tuple[str, str, int]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = NameModel(model_rows)
         languages = sorted(model.three)
-        known: dict[str, dict[str, tuple[float, bool, bool, bool, bool]]] = {x: {} for x in languages}
+        known: dict[str, dict[str, Measured]] = {x: {} for x in languages}
 
-        def measured(language: str, n: str) -> tuple[float, bool, bool, bool, bool]:
-            """Cross-entropy, and whether the name is short, numbered, in camel case, in snake case."""
-            own = known[language]
+        def measured(language: str, n: str) -> Measured:
+            own = known.setdefault(language, {})
             found = own.get(n)
             if found is None:
-                if len(own) > 200_000:
+                if len(own) > 100_000:
                     own.clear()
-                found = own[n] = model.bits(language, n), len(n) <= 2, bool(_NUMBERED.search(n)), bool(_CAMEL.search(n)), bool(_SNAKE.search(n))
+                found = own[n] = Measured(model, language, n)
             return found
 
         for pdf in batches:
@@ -178,24 +222,23 @@ def _measure(model_rows: list[tuple[str, str, int]]):
                 language = _language(path)
                 own = names(code)
                 all_of = [measured(language, n) for n in own]
-                bits = sum(x[0] for x in all_of)
-                short, numbered, camel, snake = (sum(x[k] for x in all_of) for k in range(1, 5))
+                camel, snake = sum(m.camel for m in all_of), sum(m.snake for m in all_of)
+                long_names, spread, frame = diversity(all_of)
                 lines = code.split("\n")
                 longest = max(map(len, lines))
                 data = sum(len(x) for x in lines if len(x) > 20 and (x.count(",") > 4 or (len(x) > 40 and " " not in x.strip())) and _DATA_LINE.fullmatch(x))
-                config = sum(1 for x in lines if _CONFIG_LINE.match(x)) if numbered > NUMBERED * len(own) else 0
                 # whether another language's model explains the names better is only asked where the style is unusual
                 unusual = camel + snake >= 4 and longest < LONG_LINE and (camel > 2 * snake if language in ("python", "c") else snake > 2 * camel)
-                best = min(languages, key=lambda x: sum(measured(x, n)[0] for n in own)) if unusual else language
+                best = min(languages, key=lambda x: sum(measured(x, n).bits for n in own)) if unusual else language
                 generated, owner, origin = top_notes(code) if start <= 1 else (False, "", False)
                 code_hash = int.from_bytes(hashlib.blake2b(code.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big")
-                out.append((path, start, code_hash, len(code), data, longest, len(lines), config, len(own), bits, short, numbered, camel, snake, best == language, generated, owner, origin, start <= 1 and bool(_BANNER.match(code))))
+                out.append((path, start, code_hash, len(code), data, longest, len(own), sum(m.bits for m in all_of), long_names, spread * long_names, frame * long_names, camel, snake, best == language, generated, owner, origin, start <= 1 and bool(_BANNER.match(code))))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _MEASURES.split(", ")])
 
     return run
 
 
-_MEASURES = "file_path string, start int, code_hash long, chars long, data long, longest long, lines long, config long, names long, bits double, short long, numbered long, camel long, snake long, own_language boolean, generated boolean, owner string, origin boolean, banner boolean"
+_MEASURES = "file_path string, start int, code_hash long, chars long, data long, longest long, names long, bits double, long_names long, spread double, frame double, camel long, snake long, own_language boolean, generated boolean, owner string, origin boolean, banner boolean"
 
 
 def _pieces(chunks: DataFrame) -> DataFrame:
@@ -210,41 +253,66 @@ def name_counts(chunks: DataFrame) -> DataFrame:
     return counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
 
 
-def file_measures(chunks: DataFrame) -> DataFrame:
-    """One row of measures per file, with the verdicts ``mangled``, ``template``, ``is_data``, ``foreign`` and ``vendored``."""
+def file_measures(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row of measures per file, with the verdicts of the name models (``mangled``, ``template``, ``is_data``, ``foreign``), those of
+    ``notice`` and ``path``, and ``reasons``: the names of all that hold."""
     # bounded: at most 40^3 trigrams per language of LANGUAGES
     model = [tuple(r) for r in name_counts(chunks).collect()]
     per_chunk = _pieces(chunks).mapInPandas(_measure(model), _MEASURES).distinct()
-    total = [F.sum(c).alias(c) for c in ("chars", "data", "lines", "config", "names", "bits", "short", "numbered", "camel", "snake")]
-    files = per_chunk.groupBy("file_path").agg(*total, F.max("longest").alias("longest"), F.max("generated").alias("generated"), F.max("owner").alias("owner"), F.max("origin").alias("origin"), F.max("banner").alias("banner"), F.avg(F.col("own_language").cast("double")).alias("own_share"))
+    total = [F.sum(c).alias(c) for c in ("chars", "data", "names", "bits", "long_names", "spread", "frame", "camel", "snake")]
+    most = [F.max(c).alias(c) for c in ("longest", "generated", "owner", "origin", "banner")]
+    rows = per_chunk.groupBy("file_path").agg(*total, *most, F.avg(F.col("own_language").cast("double")).alias("own_share"))
+    if files is None:
+        rows = rows.withColumn("size", F.col("chars"))
+    else:
+        sizes = latest_fingerprints(files).select("file_path", F.col("size").alias("told"))
+        near = F.col("told").between(F.col("chars") / 2, F.col("chars") * 2)
+        rows = rows.join(sizes, "file_path", "left").withColumn("size", F.when(near, F.col("told")).otherwise(F.col("chars"))).drop("told")
     extension = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
     language = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[extension]
-    share = lambda c: F.col(c) / F.greatest(F.col("names"), F.lit(1))
-    files = files.withColumns({"language": language, "repo": F.split("file_path", "/")[0], "cross_entropy": share("bits"), "style": (F.col("camel") - F.col("snake")) / F.greatest(F.col("camel") + F.col("snake"), F.lit(1))})
-    norm = files.groupBy("language").agg(F.percentile_approx("cross_entropy", [0.25, 0.5, 0.75], 1000).alias("q"))
-    styles = files.groupBy("repo", "language").agg(F.percentile_approx("style", 0.5, 1000).alias("usual_style"))
+    share = lambda c, of: F.col(c) / F.greatest(F.col(of), F.lit(1))
+    # written once: one row of numbers per file, compared with its language's and its repository's other files
+    rows = cut(
+        rows.withColumns(
+            {
+                "language": language, "repo": F.split("file_path", "/")[0], "cross_entropy": share("bits", "names"), "diversity": share("spread", "long_names"), "frame": share("frame", "long_names"),
+                "style": (F.col("camel") - F.col("snake")) / F.greatest(F.col("camel") + F.col("snake"), F.lit(1)),
+            }
+        )
+    )
+    median = lambda c, names, least: F.percentile_approx(F.when(F.col(names) >= least, F.col(c)), 0.5, 1000)
+    bits, spread = median("cross_entropy", "names", MANGLED_NAMES), median("diversity", "long_names", TEMPLATE_NAMES)
+    norm = rows.groupBy("language").agg(F.least(bits, F.lit(MOST_BITS)).alias("usual_bits"), F.greatest(spread, F.lit(LEAST_DIVERSITY)).alias("usual_diversity"))
+    styles = rows.groupBy("repo", "language").agg(F.percentile_approx("style", 0.5, 1000).alias("usual_style"))
     # a row per language, and a row per repository and language: far smaller than the files, joined without a forced broadcast
-    files = files.join(norm, "language").join(styles, ["repo", "language"])
-    far = F.col("cross_entropy") > F.col("q")[1] + DEVIATIONS * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.02))
-    names_enough = F.col("names") >= 5
-    verdicts = {
-        "mangled": (F.col("longest") > LONG_LINE) & names_enough & (far | (share("short") > MANGLED_SHORT)),
-        "template": (share("numbered") > NUMBERED) & (F.col("names") >= 6) & (F.col("config") < 0.5 * F.col("lines")),
-        "is_data": (F.col("data") > DATA * F.col("chars")) & (F.col("chars") > 400),
-        "foreign": (F.abs(F.col("style") - F.col("usual_style")) > 2 * FOREIGN) & (F.col("camel") + F.col("snake") >= 20) & (F.col("own_share") > 0.9),
-    }
-    files = files.withColumns(verdicts)
+    rows = rows.join(norm, "language").join(styles, ["repo", "language"])
     other_owner = (F.col("owner") != "") & (F.col("owner") != F.lower("repo"))
-    return files.withColumns(
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    known = Counter()
+    for of, _, n in model:
+        known[of] += n
+    modelled = F.col("language").isin([of for of, n in known.items() if n >= MODEL_GRAMS])
+    path = lambda p: F.col("file_path").rlike(f"(?i){p.pattern}")
+    rows = rows.withColumns(
         {
-            "generated": F.col("generated") | F.col("file_path").rlike(f"(?i){_PATH_GENERATED.pattern}"),
-            "mangled": F.col("mangled") | F.col("banner") & (F.col("longest") > LONG_LINE) | F.col("file_path").rlike(f"(?i){_PATH_BUNDLED.pattern}"),
-            "vendored": F.col("foreign") | other_owner | F.col("origin") | F.col("file_path").rlike(f"(?i){_PATH_VENDORED.pattern}"),
+            "mangled": holds((F.col("cross_entropy") > F.col("usual_bits") + MANGLED_BITS) & (F.col("names") >= MANGLED_NAMES) & modelled),
+            "template": holds((F.col("diversity") < TEMPLATE * F.col("usual_diversity")) & (F.col("frame") > FRAME) & (F.col("long_names") >= TEMPLATE_NAMES)),
+            "is_data": (F.col("data") > DATA * F.col("chars")) & (F.col("chars") > 400) & (F.col("names") * 1024 < DATA_NAMES * F.col("size")),
+            "foreign": (F.abs(F.col("style") - F.col("usual_style")) > 2 * FOREIGN) & (F.col("camel") + F.col("snake") >= 20) & (F.col("own_share") > 0.9),
+            "notice": F.col("generated") | F.col("origin") | other_owner | (F.col("banner") & (F.col("longest") > LONG_LINE)),
+            "path": path(_PATH_GENERATED) | path(_PATH_BUNDLED) | path(_PATH_VENDORED),
         }
     )
+    names_of = {"mangled": "mangled names", "template": "names of a template", "is_data": "data", "foreign": "foreign style", "notice": "notice", "path": "path"}
+    return rows.withColumn("reasons", F.filter(F.array(*[F.when(F.col(c), F.lit(r)) for c, r in names_of.items()]), lambda r: r.isNotNull()))
+
+
+def reasons(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``(file_path, reasons, cross_entropy, diversity)`` of the files that are not handwritten."""
+    found = file_measures(chunks, files).filter(F.size("reasons") > 0)
+    return found.select("file_path", F.array_join("reasons", ", ").alias("reasons"), F.round("cross_entropy", 4).alias("cross_entropy"), F.round("diversity", 4).alias("diversity"))
 
 
-def not_handwritten(chunks: DataFrame) -> DataFrame:
+def not_handwritten(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """``(file_path)`` of the files that a tool wrote, that are minified, that are copies of other projects, or that are data."""
-    found = F.col("generated") | F.col("mangled") | F.col("template") | F.col("is_data") | F.col("vendored")
-    return file_measures(chunks).filter(found).select("file_path")
+    return file_measures(chunks, files).filter(F.size("reasons") > 0).select("file_path")

@@ -50,3 +50,35 @@ def test_dirty_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert [r.file_path for r in V.not_handwritten(df).collect()] == ["r/a.py"]
     assert V.not_handwritten(df.limit(0)).count() == 0
+
+
+def measured(spark, extra, files=None):
+    rows = [(i, f"r/src/m{i}.py", 1, hand(i), None, "x", 1) for i in range(40)] + [(100 + i, f"r/src/m{i}.js", 1, js(i), None, "x", 1) for i in range(40)]
+    rows += [(1000 + k, p, 1, c, None, "x", 1) for k, (p, c) in enumerate(extra.items())]
+    return {r.file_path: r for r in V.file_measures(spark.createDataFrame(rows, SCHEMA), files).collect()}
+
+
+def test_the_models_decide_without_notices_and_paths(spark):
+    stems = "alpha bravo carrier delta engine filter gamma harbor index journal kernel ledger".split()
+    series = "".join(f"def read_{s}_field(buf, pos):\n    return buf.{s}_slot\n\n" for s in stems)  # no numbers at all
+    got = measured(spark, {"r/src/a.py": GENERATED, "r/src/b.js": MINIFIED, "r/src/c.py": DATA, "r/src/s.py": series})
+    verdicts = {p: list(r.reasons) for p, r in got.items() if r.reasons}
+    assert verdicts == {"r/src/a.py": ["names of a template"], "r/src/b.js": ["mangled names"], "r/src/c.py": ["data"], "r/src/s.py": ["names of a template"]}
+    assert got["r/src/b.js"].cross_entropy > got["r/src/m3.js"].cross_entropy + V.MANGLED_BITS
+    assert got["r/src/a.py"].diversity < V.TEMPLATE * got["r/src/m3.py"].diversity
+
+
+def test_a_foreign_naming_style_is_vendored(spark):
+    camel = "".join(f"def {WORDS[i % 12]}{WORDS[(i * 5 + 1) % 12].title()}{WORDS[(i * 7 + 3) % 12].title()}({WORDS[i % 12]}):\n    return {WORDS[i % 12]}.{WORDS[(i + 2) % 12]}{WORDS[(i * 3 + 1) % 12].title()}\n\n" for i in range(24))
+    assert list(measured(spark, {"r/src/z.py": camel})["r/src/z.py"].reasons) == ["foreign style"]
+
+
+def test_sizes_of_files(spark):
+    files = spark.createDataFrame([("r/src/m1.py", "h", 1.0, 100), ("r/src/m1.py", "h", 2.0, 150), ("r/src/m2.py", "h", 1.0, 10**9), ("r/src/m3.py", "h", None, None)], "file_path string, file_hash string, mtime double, size long")
+    got = measured(spark, {}, files)
+    assert got["r/src/m1.py"].size == 150 and got["r/src/m2.py"].size == got["r/src/m2.py"].chars and got["r/src/m3.py"].size == got["r/src/m3.py"].chars
+
+
+def test_a_notice_behind_a_long_leading_comment(spark):
+    text = "# licence text\n" * 200 + "# " + "x" * 600 + "\n# Code generated by wire. DO NOT EDIT.\n" + hand(1)
+    assert V.top_notes(text)[0] and not V.top_notes("a = 1\n" * 9 + "# Code generated by wire.\n")[0]
