@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,15 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder: the cluster's ``spark.checkpoint.dir``, else one of our own.
+    """The reliable checkpoint folder: the one already set, else the one that ``spark.checkpoint.dir`` names.
 
-    A machine-local folder is only taken when the session names none, which is the case in tests.
+    Only a session that runs on one machine (master ``local``) gets a folder of its own where none is named; on a cluster that would
+    be a folder its executors do not share, so it is refused.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[[^,\]]*(,\s*\d+)?\])?$", sc.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkseek-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -33,7 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows, which a count of no more than one row beyond that decides;
-    otherwise as it is, so that the join shuffles. For narrow rows only (ids, terms, names)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _bytes(kind: DataType, c: Column) -> Column:
+    """About the bytes that a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType)):
+            return F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + _bytes(kind.elementType, x).cast("int")), F.lit(0)) + 8
+        return F.coalesce(F.size(c), F.lit(0)) * 8 + 8
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, most: int = 200_000, most_bytes: int = 32_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows and ``most_bytes``, which a count over no more than one row beyond
+    that decides; otherwise as it is, so that the join shuffles. What is costly to make should be cut before."""
+    size = sum((_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema), F.lit(0))
+    rows, used = df.select(size.cast("long").alias("n")).limit(most + 1).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and used <= most_bytes else df
