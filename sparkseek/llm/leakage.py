@@ -3,18 +3,21 @@
 Texts are reduced to words without case, markup, punctuation, line prefixes and layout (characters for Han script).
 Numbers, names and units become typed placeholders, and every window of five such words is hashed; a Han character is a
 word, so windows are the same in texts of mixed scripts. The windows of all documents are joined with those of the items;
-pairs that share as many as any run within the exchange tolerance keeps (``least_hits``) are aligned word by word. The slots under the placeholders are compared along the alignment: equal slots make a copy, slots renamed
-one-to-one make a re-parameterised copy, other slots count as exchanged words.
+pairs that share as many as any run within the exchange tolerance keeps (``least_hits``) are aligned word by word. The slots under
+the placeholders are compared along the alignment: equal slots make a copy, slots renamed one-to-one make a re-parameterised copy,
+other slots count as exchanged words.
 
 How the work is laid out
-    Documents are never shuffled for the search: their windows are exploded and joined within the scan stage, because the
-    windows of one block of items are broadcast. A block holds at most BLOCK_ITEMS items, so what is broadcast has a fixed
-    bound; more items make more blocks, each a further pass. Only (document, item) counts are shuffled. The candidate pairs, ids
-    only, are broadcast to the documents if a count finds them few, and shuffled with the texts otherwise.
+    Documents pass once through the scan stage, where their windows are exploded and joined with the items' windows. These are
+    broadcast if a count and their bytes find them small, and both sides are shuffled by window otherwise (adaptive execution then
+    splits windows that many texts share). Only (document, item) counts are shuffled, summed before. The candidate pairs, ids only, and
+    the item texts are broadcast to the documents under the same check. For each pair the shifts at which enough trigrams agree are
+    found first, by counting; only those are aligned.
 
 Defined cases
-    null, empty and blank texts hold nothing and leak nothing; items under MIN_WORDS words are skipped; repeated documents and
-    items count once (an id with several texts is searched in all of them); columns of other names are ignored.
+    null, empty and blank texts hold nothing and leak nothing; an item of fewer than WINDOW words has no window, so it leaks nothing,
+    and a run has WINDOW words at least; repeated documents and items count once (an id with several texts is searched in all of
+    them); columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -33,16 +36,18 @@ from pyspark.sql import functions as F
 
 from sparkseek.session import broadcast_if_small, cut
 
-#: Words (or Han characters) of a window, fewest words of an item.
-WINDOW, MIN_WORDS = 5, 12
-#: Items whose windows are broadcast together.
-BLOCK_ITEMS = 2_000
+#: Words (or Han characters) of a window.
+WINDOW = 5
+#: Items that a worker remembers.
+REMEMBERED = 8_000
 #: Share of an item's words that a leaked run has, exchanged words within it, and how far the alignment may drift.
 LEAKED, EXCHANGED, DRIFT = 0.4, 0.1, 4
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--|-->")
 _PREFIX = re.compile(r"^[ \t]*(?:(?:[>|*+#;%-]|//|--)+[ \t]*)*(?:[A-Za-z]?\d+[.:)|\]]+[ \t]+)?", re.M)
 _WORD = re.compile(r"[㐀-鿿豈-﫿]|[^\W_㐀-鿿豈-﫿]+(?:_+[^\W_㐀-鿿豈-﫿]+)*")
+#: The same for texts of ASCII characters only, which are most; it is the faster one.
+_ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:_+[A-Za-z0-9]+)*")
 _UNITS = frozenset("ms s sec secs second seconds minute minutes hour hours day days week weeks byte bytes kb mb gb tb percent rows row lines line tage tag zeilen minuten sekunden prozent".split())
 
 
@@ -54,9 +59,10 @@ def words(text: str | None) -> list[str]:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return _WORD.findall(_PREFIX.sub("", text))
+    text = _PREFIX.sub("", text)
+    if text.isascii():
+        return _ASCII_WORD.findall(text)
+    return _WORD.findall(unicodedata.normalize("NFKC", text))
 
 
 def placeholder(word: str) -> str:
@@ -91,76 +97,113 @@ _CODES = Codes()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def window_hashes(tokens: list[str]) -> np.ndarray:
-    """The hash of the template window that begins at each word."""
-    if len(tokens) < WINDOW:
-        return np.zeros(0, dtype=np.int64)
-    codes = _CODES.of(tokens, typed=True)
-    n = len(codes) - WINDOW + 1
+def window_hashes(texts: list[list[str]]) -> list[np.ndarray]:
+    """The hashes of the template windows that begin at each word of each text; all texts are hashed at once."""
+    codes = _CODES.of(list(itertools.chain.from_iterable(texts)), typed=True)
+    n = max(0, len(codes) - WINDOW + 1)
     out = np.zeros(n, dtype=np.uint64)
     for i in range(WINDOW):
-        out = (out ^ codes[i : i + n]) * _MIX
+        out ^= codes[i : i + n]
+        out *= _MIX
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    out, hashes, at = out.view(np.int64), [], 0
+    for text in texts:
+        hashes.append(out[at : max(at, at + len(text) - WINDOW + 1)])
+        at += len(text)
+    return hashes
+
+
+def least_run(n: int) -> int:
+    """The fewest words of an item of ``n`` words that are a leak."""
+    return min(n, max(WINDOW, math.ceil(LEAKED * n - 1e-9)))
 
 
 def least_hits(n: int, repeated: int = 0) -> int:
     """The fewest different windows of an item of ``n`` words that a leaked run shares with it, wherever its exchanged words stand:
     each takes WINDOW windows at most. ``repeated``: windows of the item that occur before."""
-    runs = range(math.ceil(LEAKED * n - 1e-9), n + 1)
+    runs = range(least_run(n), n + 1)
     return max(1, min(size - WINDOW + 1 - WINDOW * int(EXCHANGED * size + 1e-9) for size in runs) - repeated)
 
 
 def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The different template windows of each item that is long enough, and how many of them a candidate has to hold."""
     for pdf in batches:
-        out = []
-        for item_id, text in zip(pdf["item_id"], pdf["item_text"], strict=True):
-            tokens = words(text)
-            if len(tokens) >= MIN_WORDS:
-                hashes = window_hashes(tokens)
-                different = np.unique(hashes)
-                out.append((item_id, different, least_hits(len(tokens), len(hashes) - len(different))))
-        yield pd.DataFrame(out, columns=["item_id", "windows", "least"])
+        tokens = [words(t) for t in pdf["item_text"]]
+        hashes = window_hashes(tokens)
+        different = [np.unique(h) for h in hashes]
+        least = [least_hits(len(t), len(h) - len(d)) if len(t) >= WINDOW else 0 for t, h, d in zip(tokens, hashes, different, strict=True)]
+        yield pd.DataFrame({"item_id": pdf["item_id"], "windows": different, "least": least})
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The different template windows of each text."""
+    """A row for each different template window of each text."""
     for pdf in batches:
-        tokens = [words(t) for t in pdf["text"]]
-        _CODES.of(list(set(itertools.chain.from_iterable(tokens))), typed=True)  # new words are hashed together
-        yield pd.DataFrame({"id": pdf["id"], "windows": [np.unique(window_hashes(own)) for own in tokens]})
-
-
-def aligned_run(doc: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
+        different = [np.unique(h) for h in window_hashes([words(t) for t in pdf["text"]])]
+        if different:
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), [len(h) for h in different]), "h": np.concatenate(different)})
+
+
+def trigrams(codes: np.ndarray) -> np.ndarray:
+    """A code for every three words that follow one another."""
+    return (codes[:-2] * np.uint64(3) + codes[1:-1]) * _MIX + codes[2:]
+
+
+class Text:
+    """The codes of a text, and its trigrams in order."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
+        own = trigrams(codes) if len(codes) >= 3 else np.zeros(0, dtype=np.uint64)
+        self.order = np.argsort(own, kind="stable")
+        self.trigrams, self.sorted = own, own[self.order]
+        self.padded = np.r_[self.sorted, self.sorted[-1:], np.zeros(1, dtype=np.uint64)]
+
+
+def shifts(doc: Text, item: Text) -> tuple[np.ndarray, np.ndarray]:
+    """(shifts, trigrams that agree at each shift from -n on): the shifts of the document against the item near which so many
+    trigrams agree as a leaked run keeps. Of m words every tenth may be exchanged, each of which takes three trigrams, and a few more
+    may go where words are put in or left out."""
+    n = len(item.codes)
+    need = max(1, 0.6 * least_run(n) - 3)
+    lo = doc.sorted.searchsorted(item.trigrams)
+    there = np.flatnonzero(doc.padded[lo] == item.trigrams)
+    if len(there) < need:
+        return there[:0], there
+    lo = lo[there]
+    size = doc.sorted.searchsorted(item.trigrams[there], "right") - lo
+    counts = np.zeros(len(doc.codes) + n + 1, dtype=np.int64)  # of the shifts from -n on
+    if len(there) == size.sum():
+        counts += np.bincount(doc.order[lo] - there + n, minlength=len(counts))
+    else:  # in parts, as trigrams that both texts repeat often make many
+        for part in np.split(np.arange(len(there)), np.flatnonzero(np.diff(np.cumsum(size) // 2_000_000)) + 1):
+            own = size[part]
+            at = doc.order[np.repeat(lo[part] - np.cumsum(own) + own, own) + np.arange(own.sum())]
+            counts += np.bincount(at - np.repeat(there[part], own) + n, minlength=len(counts))
+    total = np.zeros(len(counts) + 2 * DRIFT + 1, dtype=np.int64)
+    np.cumsum(counts, out=total[DRIFT + 1 : len(counts) + DRIFT + 1])
+    total[len(counts) + DRIFT + 1 :] = total[len(counts) + DRIFT]
+    near = total[2 * DRIFT + 1 :] - total[: -2 * DRIFT - 1]
+    if near.max() < need:
+        return there[:0], counts
+    return np.flatnonzero((near >= need) & (counts > 0)) - n, counts
+
+
+def aligned_run(doc: Text, item: Text) -> tuple[float, int, int]:
     """The longest run of the item's words that the document holds with at most EXCHANGED of them changed: its share of
     the item, its first word and the document's shift against the item there."""
-    n = len(item)
-    if n < 3 or len(doc) < 3:
-        return 0.0, 0, 0
-    tri = lambda c: (c[:-2] * np.uint64(3) + c[1:-1]) * _MIX + c[2:]
-    a, b = tri(item), tri(doc)
-    order = np.argsort(a, kind="stable")
-    lo, hi = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
-    hit = np.flatnonzero(hi > lo)
-    j = np.repeat(hit, (hi - lo)[hit])
-    i = order[np.concatenate([np.arange(x, y) for x, y in zip(lo[hit], hi[hit], strict=True)])] if len(hit) else np.zeros(0, dtype=int)
-    if not len(i):
-        return 0.0, 0, 0
-    shifts, counts = np.unique(j - i, return_counts=True)
-    # a run of LEAKED * n words with every tenth word changed keeps well over a third of its trigrams near one shift
-    total = np.r_[0, np.cumsum(counts)]
-    near = total[np.searchsorted(shifts, shifts + DRIFT, "right")] - total[np.searchsorted(shifts, shifts - DRIFT)]
+    n = len(item.codes)
+    found, counts = shifts(doc, item)
     best = (0.0, 0, 0)
-    for s in shifts[near >= LEAKED * n / 3]:
+    for s in found:
         same = np.zeros(n, dtype=bool)
         for d in range(-DRIFT, DRIFT + 1):
-            if d and (s + d) not in shifts:
+            if d and not (0 <= s + d + n < len(counts) and counts[s + d + n]):
+                continue
+            a, b = max(0, -int(s + d)), min(n, len(doc.codes) - int(s + d))
+            if a >= b:
                 continue
-            at = np.arange(n) + s + d
-            ok = (at >= 0) & (at < len(doc))
             eq = np.zeros(n, dtype=bool)
-            eq[ok] = item[ok] == doc[at[ok]]
+            eq[a:b] = item.codes[a:b] == doc.codes[a + s + d : b + s + d]
             if d:  # off the main shift only whole trigrams count
                 t = eq[:-2] & eq[1:-1] & eq[2:]
                 eq = np.zeros(n, dtype=bool)
@@ -174,83 +217,86 @@ def aligned_run(doc: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
         starts = np.searchsorted(low, run - 1e-9)
         length = np.arange(n + 1) - starts
         end = int(np.argmax(length))
-        first = int(starts[end])
         if length[end] / n > best[0]:
-            best = (float(length[end] / n), first, int(s))
+            best = (float(length[end] / n), int(starts[end]), int(s))
     return best
 
 
-def slots(doc: list[str], item: list[str], first: int, size: int, shift: int) -> tuple[int, bool]:
-    """Changed slots along an alignment, and whether they are renamed one-to-one (and differ at all)."""
+def slots(doc: list[str], item: list[str], first: int, size: int, shift: int) -> dict[str, str]:
+    """The item's slots and what stands in their places along an alignment, if they are renamed one-to-one and differ at all;
+    nothing otherwise."""
     there: dict[str, str] = {}
     back: dict[str, str] = {}
-    changed, one_to_one = 0, True
     for i in range(first, first + size):
         j = i + shift
         if not 0 <= j < len(doc):
             continue
-        a, b = item[i].casefold(), doc[j].casefold()
-        if placeholder(item[i]) not in "#@" or placeholder(item[i]) != placeholder(doc[j]):
+        kind = placeholder(item[i])
+        if kind not in "#@" or kind != placeholder(doc[j]):
             continue
-        changed += a != b
-        one_to_one &= there.setdefault(a, b) == b and back.setdefault(b, a) == a
-    return changed, one_to_one and changed > 0
+        a, b = item[i].casefold(), doc[j].casefold()
+        if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
+            return {}
+    return there if any(a != b for a, b in there.items()) else {}
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, tuple[list[str], np.ndarray, np.ndarray]] = {}
+    known: dict[str, tuple[list[str], Text, Text]] = {}
     for pdf in batches:
         out = []
         tokens = {t: words(t) for t in pdf["text"].unique()}
         _CODES.of(list(set(itertools.chain.from_iterable(tokens.values()))), typed=True)  # new words are hashed together
         for doc_text, own in pdf.groupby("text", sort=False):
             doc = tokens[doc_text]
-            typed, exact = _CODES.of(doc, True), None
+            typed, exact = Text(_CODES.of(doc, True)), None
             for row in own.itertuples():
                 if row.item_text not in known:
-                    if len(known) > 4 * BLOCK_ITEMS:
+                    if len(known) > REMEMBERED:
                         known.clear()
                     own_words = words(row.item_text)
-                    known[row.item_text] = own_words, _CODES.of(own_words, True), _CODES.of(own_words, False)
+                    known[row.item_text] = own_words, Text(_CODES.of(own_words, True)), Text(_CODES.of(own_words, False))
                 item, item_typed, item_exact = known[row.item_text]
+                least = least_run(len(item)) / len(item)
                 # the template has to hold first; then its slots and words are compared
                 template, first, shift = aligned_run(typed, item_typed)
-                share, renamed = 0.0, False
-                if template >= LEAKED:
-                    exact = _CODES.of(doc, False) if exact is None else exact
+                share, renamed = 0.0, {}
+                if template >= least:
+                    exact = Text(_CODES.of(doc, False)) if exact is None else exact
                     share = aligned_run(exact, item_exact)[0]
-                    renamed = share < LEAKED and slots(doc, item, first, round(template * len(item)), shift)[1]
-                kind = "copy" if share >= LEAKED else "renamed" if renamed else "none"
-                out.append((row.id, row.item_id, kind, share, template))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "kind", "share", "template_share"])
+                    if share < least:
+                        renamed = slots(doc, item, first, round(template * len(item)), shift)
+                kind = "copy" if share >= least else "renamed" if renamed else "none"
+                out.append((row.id, row.item_id, kind, share, template, [f"{a} -> {b}" for a, b in renamed.items() if a != b]))
+        yield pd.DataFrame(out, columns=["doc_id", "item_id", "kind", "share", "template_share", "slots"])
+
+
+_PAIRS = "doc_id long, item_id long, kind string, share double, template_share double, slots array<string>"
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, kind, share, template_share)`` of every candidate pair.
+    """``(doc_id, item_id, kind, share, template_share, slots)`` of every candidate pair.
 
     ``kind`` is ``copy`` (the run holds with the exchange tolerance), ``renamed`` (only the template holds, its slots renamed
-    one-to-one) or ``none``. A pair occurs once per different text of the document.
+    one-to-one: ``slots`` says how) or ``none``. A pair occurs once per different text of the document.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null")
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).filter("item_text is not null").distinct()
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-wanted.count() // BLOCK_ITEMS)))).cast("int"))
-    windows = docs.mapInPandas(_windows, "id long, windows array<long>")
-    out = None
-    for (block,) in sorted(wanted.select("block").distinct().collect()):
-        own = wanted.filter(F.col("block") == block).select("item_id", "item_text")
-        there = own.mapInPandas(_item_windows, "item_id long, windows array<long>, least long").select("item_id", "least", F.explode("windows").alias("h"))
-        hits = windows.select("id", F.explode("windows").alias("h")).join(F.broadcast(there), "h")
-        pairs = hits.groupBy("id", "item_id").agg(F.count("*").alias("hits"), F.min("least").alias("least")).filter(F.col("hits") >= F.col("least"))
-        # pairs of ids only; written once, as they are counted and then joined
-        pairs = cut(pairs.select("id", "item_id"))
-        candidates = docs.join(broadcast_if_small(pairs), "id").join(F.broadcast(own), "item_id")
-        verified = candidates.mapInPandas(_verify, "doc_id long, item_id long, kind string, share double, template_share double")
-        out = verified if out is None else out.unionByName(verified)
-    if out is None:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, kind string, share double, template_share double")
-    return out
+    there = wanted.mapInPandas(_item_windows, "item_id long, windows array<long>, least long").select("item_id", "least", F.explode("windows").alias("h"))
+    windows = docs.mapInPandas(_windows, "id long, h long")
+    hits = windows.join(broadcast_if_small(there, 1_000_000), "h").groupBy("id", "item_id").agg(F.count("*").alias("hits"), F.min("least").alias("least"))
+    # pairs of ids only; written once, as they are counted and then joined
+    pairs = cut(hits.filter(F.col("hits") >= F.col("least")).select("id", "item_id"))
+    candidates = docs.join(broadcast_if_small(pairs), "id").join(broadcast_if_small(wanted), "item_id")
+    return candidates.mapInPandas(_verify, _PAIRS)
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id)`` of the documents that hold an item's text, or a run of 40 % of it, up to small changes."""
     return leaks(documents, items).filter("kind = 'copy'").select("doc_id", "item_id").distinct()
+
+
+def renamed(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``(doc_id, item_id, template_share, slots)`` of the documents that hold an item with other numbers and names, renamed one-to-one
+    throughout: a re-parameterised item."""
+    found = leaks(documents, items).filter("kind = 'renamed'")
+    return found.select("doc_id", "item_id", F.round("template_share", 4).alias("template_share"), F.array_join("slots", ", ").alias("slots")).distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkseek.llm.leakage import leaked
+from sparkseek.llm.leakage import leaked, renamed
 from sparkseek.llm.levels import document_levels, levels
 from sparkseek.llm.neighbors import neighbor_pairs
 from sparkseek.llm.provenance import not_handwritten, reasons
@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: not_handwritten(table(s, d, "chunks"), table(s, d, "files")),
         "p5_reasons": lambda s, d: reasons(table(s, d, "chunks"), table(s, d, "files")),
         "p7_found": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "golden_items")),
+        "p7_renamed": lambda s, d: renamed(table(s, d, "documents"), table(s, d, "golden_items")),
         "p8_found": lambda s, d: levels(table(s, d, "documents"), table(s, d, "doc_levels")),
         "p8_profile": lambda s, d: document_levels(table(s, d, "documents"), table(s, d, "doc_levels")),
         "p6_ids": lambda s, d: encode_once(table(s, d, "documents")),

@@ -69,5 +69,25 @@ def test_longest_run_against_brute_force():
         changed = sorted(rng.sample(range(50), 12))
         doc[changed] = 7
         best = max((b - a for a in range(51) for b in range(a, 51) if sum(a <= c < b for c in changed) <= L.EXCHANGED * (b - a) + 1e-9), default=0)
-        share = L.aligned_run(doc, item)[0]
-        assert share == 0.0 or abs(share * 50 - best) < 1e-6
+        share = L.aligned_run(L.Text(doc), L.Text(item))[0]
+        assert abs(share * 50 - best) < 1e-6 if best >= L.LEAKED * 50 else share <= best / 50 + 1e-9
+
+
+def test_short_and_repetitive_items(spark):
+    docs = [(1, "before " + "alpha bravo carrier delta engine filter gamma" + " after"), (2, "la " * 40 + OTHER), (3, "alpha bravo carrier delta"), (4, "alpha bravo carrier delta engine")]
+    items = [(1, "Alpha bravo carrier, delta engine filter gamma!"), (2, "la " * 30), (3, "alpha bravo carrier delta")]
+    assert leaks(spark, docs, items) == {(1, 1), (2, 2), (4, 1)}
+
+
+def test_renamed_items_say_how(spark):
+    sentence = "when {a} reads {n} parts the {b} step waits until {a} has closed the file and {b} reports that all {n} parts of the batch were kept in order by {a} before {b}"
+    d = spark.createDataFrame([(1, sentence.format(a="open_page", b="keep_line", n=77), None, 7), (1, sentence.format(a="open_page", b="keep_line", n=77), None, 7)], DOCS)
+    i = spark.createDataFrame([(1, sentence.format(a="load_file", b="send_row", n=12), "q", None)], ITEMS)
+    assert [(r.doc_id, r.item_id, r.slots) for r in L.renamed(d, i).collect()] == [(1, 1, "load_file -> open_page, 12 -> 77, send_row -> keep_line")]
+
+
+def test_both_joins_give_the_same(spark, monkeypatch):
+    docs, items = [(1, f"{OTHER} {ITEM}"), (2, OTHER), (3, ZH)], ((1, ITEM), (2, ZH))
+    wanted = leaks(spark, docs, items)
+    monkeypatch.setattr(L, "broadcast_if_small", lambda df, *_: df)
+    assert leaks(spark, docs, items) == wanted == {(1, 1), (3, 2)}
