@@ -308,7 +308,11 @@ import <- 'import' dotted ('as' ID)? (',' dotted ('as' ID)?)* / 'from' ('.' / '.
 importparen <- importnames ','?
 importnames <- ID ('as' ID)? (',' ID ('as' ID)?)*
 dotted <- ID ('.' ID)*
-assignment <- exprs (augassign (yield / exprs) / ':' test ('=' (yield / exprs))? / ('=' (yield / exprs))*) / yield
+assignment <- aim augassign (yield / exprs) / aim ':' test ('=' (yield / exprs))? / (aims '=')* (yield / exprs)
+aims <- aimitem (',' aimitem)* ','?
+aimitem <- '*'? aim
+aim <- atom (trailer &trailer)* settrailer !trailer / ID !trailer / (|tuple|) !trailer / [list] !trailer
+settrailer <- '.' ID / [subscript]
 augassign <- '+=' / '-=' / '*=' / '/=' / '//=' / '%=' / '@=' / '&=' / '|=' / '^=' / '>>=' / '<<=' / '**='
 yield <- 'yield' ('from' test / exprs)?
 exprs <- starred (',' starred)* ','?

@@ -12,7 +12,7 @@ from sparkseek.llm.neighbors import neighbor_pairs
 from sparkseek.llm.provenance import not_handwritten, reasons
 from sparkseek.llm.secrets import masked_chunks, secret_lines
 from sparkseek.llm.splitting import natural_boundaries, split_oversized
-from sparkseek.llm.syntax import invalid_files, invalid_rates
+from sparkseek.llm.syntax import failures, invalid_files, invalid_rates
 from sparkseek.llm.tokens import encode_once
 from sparkseek.session import table
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "p1_redacted": lambda s, d: masked_chunks(table(s, d, "chunks")),
         "p2_found": lambda s, d: neighbor_pairs(table(s, d, "vec_chunks")),
         "p3_found": lambda s, d: invalid_files(table(s, d, "chunks")),
+        "p3_failures": lambda s, d: failures(table(s, d, "chunks")),
         "p3_rates": lambda s, d: invalid_rates(table(s, d, "chunks")),
         "p4_found": lambda s, d: natural_boundaries(table(s, d, "chunks")),
         "p4_pieces": lambda s, d: split_oversized(table(s, d, "chunks")),
