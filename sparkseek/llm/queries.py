@@ -11,7 +11,7 @@ from sparkseek.llm.levels import document_levels, levels
 from sparkseek.llm.neighbors import neighbor_pairs
 from sparkseek.llm.provenance import not_handwritten, reasons
 from sparkseek.llm.secrets import masked_chunks, secret_lines
-from sparkseek.llm.splitting import natural_boundaries, split_oversized
+from sparkseek.llm.splitting import cut_report, natural_boundaries, split_oversized
 from sparkseek.llm.syntax import failures, invalid_files, invalid_rates
 from sparkseek.llm.tokens import encode_once
 from sparkseek.session import table
@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "p3_rates": lambda s, d: invalid_rates(table(s, d, "chunks")),
         "p4_found": lambda s, d: natural_boundaries(table(s, d, "chunks")),
         "p4_pieces": lambda s, d: split_oversized(table(s, d, "chunks")),
+        "p4_cuts": lambda s, d: cut_report(table(s, d, "chunks")),
         "p5_found": lambda s, d: not_handwritten(table(s, d, "chunks"), table(s, d, "files")),
         "p5_reasons": lambda s, d: reasons(table(s, d, "chunks"), table(s, d, "files")),
         "p7_found": lambda s, d: leaked(table(s, d, "documents"), table(s, d, "golden_items")),

@@ -149,11 +149,9 @@ def segments(code: str, path: str | None, limit: int = LIMIT) -> list[dict]:
     return atoms
 
 
-def pieces(code: str, path: str | None, symbol: str | None, start_line: int, limit: int = LIMIT, overlap: int = OVERLAP) -> list[dict]:
-    """The pieces of one chunk; a chunk within the limit is its own only piece."""
-    n = code.count("\n") + 1
-    if len(code) <= limit:
-        return [{"piece": 0, "start_line": start_line, "end_line": start_line + n - 1, "symbol": symbol, "shared_lines": 0, "code": code}]
+def merge(code: str, path: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[dict], dict[int, int]]:
+    """(atomic segments, piece -> first offset with its overlap): the segments with ``end`` of the piece that they begin, and
+    ``kept``, whether the boundary before them is still a cut when no pair can be merged any more."""
     atoms = segments(code, path, limit)
     line_starts = [0] + [m.end() for m in re.finditer("\n", code)]
     line_of = {s: i for i, s in enumerate(line_starts)}
@@ -195,17 +193,27 @@ def pieces(code: str, path: str | None, symbol: str | None, start_line: int, lim
         nxt[left] = nxt[right]
         if nxt[right] is not None:
             prv[nxt[right]] = left
+    merged = [a | {"end": end[i], "kept": i not in gone} for i, a in enumerate(atoms)]
+    return merged, {i: begin[i] for i in alive if i not in gone}
+
+
+def pieces(code: str, path: str | None, symbol: str | None, start_line: int, limit: int = LIMIT, overlap: int = OVERLAP) -> list[dict]:
+    """The pieces of one chunk; a chunk within the limit is its own only piece."""
+    n = code.count("\n") + 1
+    if len(code) <= limit:
+        return [{"piece": 0, "start_line": start_line, "end_line": start_line + n - 1, "symbol": symbol, "shared_lines": 0, "natural": True, "code": code}]
+    atoms, begin = merge(code, path, limit, overlap)
     out: list[dict] = []
     current = symbol
-    for i in alive:
-        if atoms[i]["symbol"]:
-            current = atoms[i]["symbol"]
-        if i in gone:
+    for i, atom in enumerate(atoms):
+        if atom["symbol"]:
+            current = atom["symbol"]
+        if i not in begin:
             continue
-        stop = end[i] - 1 if nxt[i] is not None and code[end[i] - 1] == "\n" else end[i]
+        stop = atom["end"] - 1 if atom["end"] < len(code) and code[atom["end"] - 1] == "\n" else atom["end"]
         text = code[begin[i] : stop]
-        first = atoms[i]["line"] - code.count("\n", begin[i], atoms[i]["start"])
-        out.append({"piece": len(out), "start_line": start_line + first, "end_line": start_line + first + text.count("\n"), "symbol": current, "shared_lines": atoms[i]["line"] - first, "code": text})
+        first = atom["line"] - code.count("\n", begin[i], atom["start"])
+        out.append({"piece": len(out), "start_line": start_line + first, "end_line": start_line + first + text.count("\n"), "symbol": current, "shared_lines": atom["line"] - first, "natural": atom["natural"], "code": text})
     return out
 
 
@@ -215,13 +223,13 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in pdf.itertuples():
             symbol = r.symbol if isinstance(r.symbol, str) and r.symbol else None
             rows += [{"chunk_id": r.chunk_id} | p for p in pieces(r.code, r.file_path, symbol, int(r.start_line))]
-        yield pd.DataFrame(rows, columns=["chunk_id", "piece", "start_line", "end_line", "symbol", "shared_lines", "code"])
+        yield pd.DataFrame(rows, columns=["chunk_id", "piece", "start_line", "end_line", "symbol", "shared_lines", "natural", "code"])
 
 
 def _bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(r.chunk_id, s["line"] + 1) for r in pdf.itertuples() for s in segments(r.code, r.file_path) if s["natural"]]
-        yield pd.DataFrame(rows, columns=["chunk_id", "line_no"])
+        rows = [(r.chunk_id, s["line"] + 1, s["strength"], s["natural"], s["kept"]) for r in pdf.itertuples() for s in merge(r.code, r.file_path)[0]]
+        yield pd.DataFrame(rows, columns=["chunk_id", "line_no", "strength", "natural", "kept"])
 
 
 def _oversized(chunks: DataFrame, limit: int) -> DataFrame:
@@ -230,13 +238,29 @@ def _oversized(chunks: DataFrame, limit: int) -> DataFrame:
 
 
 def split_oversized(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, piece, start_line, end_line, symbol, shared_lines, code)`` of the chunks above the limit. No shuffle of
-    what is within it: the length is tested in the scan stage."""
-    cut = _oversized(chunks, LIMIT).distinct().mapInPandas(_cut, "chunk_id long, piece int, start_line int, end_line int, symbol string, shared_lines int, code string")
+    """``(chunk_id, piece, start_line, end_line, symbol, shared_lines, natural, code)`` of the chunks above the limit; ``natural``
+    says whether a piece begins at a natural boundary. No shuffle of what is within the limit: the length is tested in the scan stage."""
+    cut = _oversized(chunks, LIMIT).distinct().mapInPandas(_cut, "chunk_id long, piece int, start_line int, end_line int, symbol string, shared_lines int, natural boolean, code string")
     return cut
 
 
+def boundaries(chunks: DataFrame) -> DataFrame:
+    """``(chunk_id, line_no, strength, natural, kept)``: the boundaries between the atomic segments of the chunks above the limit, as they
+    come out of the merging: ``kept`` ones are still cuts at its end."""
+    found = _oversized(chunks, LIMIT).mapInPandas(_bounds, "chunk_id long, line_no long, strength int, natural boolean, kept boolean")
+    return found.distinct()
+
+
 def natural_boundaries(chunks: DataFrame) -> DataFrame:
     """``(chunk_id, line_no)``: where the atomic segments of the chunks above the limit begin naturally; line 1 always."""
-    found = _oversized(chunks, LIMIT).mapInPandas(_bounds, "chunk_id long, line_no long")
-    return found.distinct()
+    return boundaries(chunks).filter("natural").select("chunk_id", "line_no").distinct()
+
+
+def cut_report(chunks: DataFrame) -> DataFrame:
+    """``(language, strength, natural, boundaries, cuts)``: how many boundaries of each strength there are, and how many of them are
+    still cuts when the weaker ones have been merged."""
+    kind = F.lower(F.regexp_extract("file_path", r"\.([^./]+)$", 1))
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    languages = chunks.groupBy(F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.min(F.coalesce(known[kind], F.lit("other"))).alias("language"))
+    rows = boundaries(chunks).join(languages, "chunk_id")
+    return rows.groupBy("language", "strength", "natural").agg(F.count("*").alias("boundaries"), F.sum(F.col("kept").cast("long")).alias("cuts"))

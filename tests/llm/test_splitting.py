@@ -71,3 +71,15 @@ def test_dirty_rows(spark):
     out = P.split_oversized(df).collect()
     assert {r.chunk_id for r in out} == {1, 2} and len(out) == len({(r.chunk_id, r.piece) for r in out})
     assert P.natural_boundaries(df.limit(0)).count() == 0 and P.split_oversized(df.limit(0)).count() == 0
+
+
+def test_boundaries_come_out_of_the_merging(spark):
+    code = "".join(f"def f{i}(a):\n    x = a\n\n    return x + {i}\n\n\n" for i in range(200))
+    df = spark.createDataFrame([(1, "a.py", "f", 1, code), (1, "a.py", "f", 1, code), (2, "b.py", None, 1, "x = 1\n")], "chunk_id long, file_path string, symbol string, start_line int, code string")
+    rows = P.boundaries(df).collect()
+    found = {r.line_no for r in P.natural_boundaries(df).collect()}
+    assert {r.chunk_id for r in rows} == {1} and found == {r.line_no for r in rows if r.natural} and len(found) == 200
+    starts = {p["start_line"] + p["shared_lines"] for p in P.pieces(code, "a.py", "f", 1)}
+    assert {r.line_no for r in rows if r.kept} == starts and all(r.natural for r in rows if r.kept)
+    report = {(r.language, r.natural): (r.boundaries, r.cuts) for r in P.cut_report(df).collect()}
+    assert report["python", True][1] == len(starts) and report["python", False][1] == 0
