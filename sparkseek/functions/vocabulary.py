@@ -22,8 +22,10 @@ LINE_WINDOW, LINE_OVERLAP, MAX_CHUNK_LINES, MIN_CHUNK_LINES, MIN_CHUNK_CHARS = 6
 # File name classes.
 TEST_MARKS = ("_test.", "test_", "Test.", ".test.", ".spec.", "_spec.")
 BARREL_FILES = ("index.ts", "index.js", "index.tsx", "index.jsx", "index.mjs", "__init__.py", "mod.rs")
+# Languages that hold text or settings.
 NON_CODE = ("markdown", "yaml", "json", "toml", "properties", "text")
 CONFIG_LANGUAGES = ("yaml", "toml", "properties", "json")
+# Accessor and builtin names that say nothing in a call graph.
 BOILERPLATE = ("toString", "equals", "hashCode", "clone", "compareTo", "builder", "build", "valueOf", "readObject", "writeObject")
 BOILERPLATE_PATTERN = "^(get|set|is)[A-Z][A-Za-z0-9_]*$"
 CALL_STOP = (
@@ -35,6 +37,20 @@ CALL_STOP = (
 )
 CALL_KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "new", "super", "else", "throw", "function", "def", "func", "class", "elif", "except", "with", "not", "and", "or", "in", "sizeof", "typeof", "await", "async", "import", "struct", "case", "do", "try", "yield", "raise", "lambda", "assert")
 DECLARED_STOP = ("if", "for", "while", "switch", "catch", "return", "new", "super", "else", "throw")
+# Patterns of declared method names, of contracts and of data carriers, which decide scores and callers.
+DECLARED = {
+    "java": (
+        r"(?m)^[ \t]*(?:public|protected|private)\s+(?:(?:static|final|synchronized|abstract|default|native)\s+)*[\w<>\[\],.\s?]+?\s+(\w+)\s*\(",
+        r"(?m)^[ \t]*[\w<>\[\],.?]+\s+(\w+)\s*\([^;{}]*\)\s*;",
+    ),
+    "python": (r"(?m)^[ \t]*def\s+(\w+)\s*\(",),
+    "go": (r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(",),
+    "typescript": (r"(?m)^[ \t]*(?:public\s+|private\s+|protected\s+|export\s+|async\s+)*(\w+)\s*\([^)]*\)\s*[:{]",),
+}
+CONTRACT_MARK, CARRIER_MARKS = "@FeignClient", ("@TableName", "@Data")
+JAVA_INTERFACE = r"(?m)^\s*(?:public\s+)?(?:@\w+(?:\([^)]*\))?\s+)*interface\s+\w"
+SCRIPT_INTERFACE = r"^\s*(?:export\s+)?interface\s"
+CONTROL_FLOW = r"\b(if|for|while|switch|return)\b"
 DECLARED_MIN, DECLARED_MOST = 4, 12
 # Patterns of a query's intent (case-insensitive).
 INTENTS = {
@@ -54,6 +70,8 @@ TINY_LINES, NAME_PARTS_MOST, INTENT_SCORE = 2, 3, 9.99
 # Fusion, graph and diversity.
 RRF_K, MAX_PER_FILE, HOT_CALLERS, MAX_FANOUT, CALLERS_LIMIT, GRAPH_LIMIT = 60, 2, 20, 5, 20, 8
 WEIGHTS = {"base": 1.0, "base_expanded": 2.0, "variant": 1.0, "sub": 0.7}
+# First results of a sub-query that are its probes, least sub-query score by reranker.
+PROBES, SUB_LEAST = 10, {"voyage": 0.55, "cohere": 0.2, "default": 0.2}
 # BM25.
 BM25_K1, BM25_B, IDF_FLOOR = 1.2, 0.75, 1e-6
 # Rendering budgets.

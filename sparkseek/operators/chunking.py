@@ -42,15 +42,26 @@ DEFINITION = {
     "java": re.compile(_BRACED + r"(?:(?:class|interface|enum|record)\s+\w|[\w<>\[\],.?]+\s+\w+\s*\([^;=]*\)?[^;=]*\{)"),
     "javascript": re.compile(_BRACED + r"(?:function\b|class\s+\w|\w+\s*\([^;]*\)\s*\{)"),
     "typescript": re.compile(_BRACED + r"(?:function\b|class\s+\w|interface\s+\w|enum\s+\w|\w+\s*\([^;]*\)\s*(?::[^;{]+)?\{)"),
+    "rust": re.compile(r"^\s*(?:pub(?:\([\w\s:]+\))?\s+)?(?:(?:async|const|unsafe|default|extern(?:\s+\"\w+\")?)\s+)*(?:fn|impl|struct|trait|enum)\b"),
+    "cpp": re.compile(r"^\s*(?:template\s*<[^;{]*>\s*)?(?:class|struct)\s+\w[^;]*$|^\s*(?:(?:virtual|static|inline|constexpr|explicit|friend)\s+)*[A-Za-z_][\w\s:<>,*&~]*\([^;]*\)\s*(?:const|noexcept|override|final|\s)*(?::[^;]*)?\{?\s*(?:\}\s*)?$"),
+    "csharp": re.compile(r"^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|protected|private|internal|static|sealed|abstract|virtual|override|async|partial|readonly|new)\s+)*(?:(?:class|interface|struct|record)\s+\w|[\w<>\[\],.?]+\s+\w+\s*(?:<[^;={]*>)?\s*\([^;=]*\)\s*(?:where\b[^;{]*)?(?:\{|=>|$))"),
+    "ruby": re.compile(r"^\s*(?:def|class|module)\s+\w"),
+    "php": re.compile(r"^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*(?:function\s+&?\w|(?:class|interface)\s+\w)"),
+    "kotlin": re.compile(r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|internal|open|abstract|override|suspend|inline|data|sealed|enum|companion|operator)\s+)*(?:fun|class|object|interface)\b"),
+    "scala": re.compile(r"^\s*(?:(?:private|protected|override|implicit|final|sealed|abstract|case|lazy)(?:\[\w+\])?\s+)*(?:def|class|object|trait)\s+\w"),
+    "swift": re.compile(r"^\s*(?:@\w+\s+)*(?:(?:public|private|internal|open|fileprivate|static|final|override|mutating|class)\s+)*(?:func|class|struct|enum|protocol|extension)\s+\w"),
+    "lua": re.compile(r"^\s*(?:local\s+)?function\b|^\s*(?:local\s+)?[\w.:]+\s*=\s*function\b"),
     "c": re.compile(r"^(?:typedef\s+)?struct\s+\w*\s*\{|^[A-Za-z_][\w\s*]*\([^;]*\)\s*\{?\s*$"),
 }
 _CONTROL = re.compile(r"^\s*(?:if|for|while|switch|catch|return|else|do|try|throw|new|with|case)\b")
-_SYMBOL = re.compile(r"(?:def|class|interface|enum|record|function\*?|struct|type)\s+(\w+)|func\s+(?:\([^)]*\)\s*)?(\w+)|(\w+)\s*\(")
+_SYMBOL = re.compile(r"(?:def|class|interface|enum|record|function\*?|struct|type|fn|fun|trait|impl(?:<[^>]*>)?|module|object|protocol|extension)\s+&?((?:self\.)?[\w.:]+)|func\s+(?:\([^)]*\)\s*)?(\w+)|(\w+)\s*(?:<[^(){};]*>)?\s*\(|([\w.:]+)\s*=\s*function")
+#: Languages whose definitions end where the indentation comes back, with the words that close them.
+_INDENTED = {"python": (), "ruby": ("end",), "lua": ("end",)}
 
 
 def _end_of(lines: list[str], i: int, language: str) -> int:
-    """The last line of the definition that begins at line ``i``: by indentation in Python, by braces elsewhere."""
-    if language == "python":
+    """The last line of the definition that begins at line ``i``: by indentation in Python, Ruby and Lua, by braces elsewhere."""
+    if language in _INDENTED:
         while i < len(lines) and lines[i].lstrip().startswith("@"):
             i += 1
         indent = len(lines[i]) - len(lines[i].lstrip()) if i < len(lines) else 0
@@ -58,7 +69,8 @@ def _end_of(lines: list[str], i: int, language: str) -> int:
         for j in range(i + 1, len(lines)):
             if lines[j].strip():
                 if len(lines[j]) - len(lines[j].lstrip()) <= indent:
-                    break
+                    closes = lines[j].split()[0].rstrip(",;)") in _INDENTED[language]
+                    return j if closes and not re.search(r"\bend\b\s*[,;)]*$", lines[i]) else end
                 end = j
         return end
     depth, opened = 0, False
@@ -68,6 +80,8 @@ def _end_of(lines: list[str], i: int, language: str) -> int:
         opened |= "{" in bare
         if (opened and depth <= 0) or (not opened and bare.rstrip().endswith(";")):
             return j
+        if not opened and j > i and language in ("kotlin", "scala", "swift", "csharp") and not bare.strip():
+            return j - 1  # a body of one expression
     return len(lines) - 1
 
 
@@ -119,10 +133,8 @@ def chunk_files(files: DataFrame) -> DataFrame:
 
 
 def call_edges(chunks: DataFrame) -> DataFrame:
-    """``(caller_id, callee_name)``: names that stand before a bracket in code, words and builtins left out, once per chunk."""
-    called = F.array_distinct(F.regexp_extract_all(C.text(F.col("code")), F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1)))
-    named = chunks.select(F.col("chunk_id").alias("caller_id"), F.explode(called).alias("callee_name"))
-    return named.filter(~F.col("callee_name").isin(*V.CALL_STOP, *V.CALL_KEYWORDS))
+    """``(caller_id, callee_name)``: callees, constructed types and receivers (see ``called_names``), once per chunk."""
+    return chunks.select(F.col("chunk_id").alias("caller_id"), F.explode(C.called_names(F.col("code"), F.col("language"))).alias("callee_name"))
 
 
 def embedding_batches(rows: DataFrame, id_col: str, text_col: str, texts: int = V.BATCH_TEXTS, chars: int = V.BATCH_CHARS) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -50,11 +50,45 @@ def embedded(rows: DataFrame, text: Column, embedder: Embedder, mode: str = "doc
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(embedder.embed(["" if t is None else t for t in texts], mode).astype(np.float32)))
+            vectors = np.asarray(embedder.embed(["" if t is None else t for t in texts], mode), dtype=np.float32)
+            if vectors.shape != (len(texts), embedder.dim):
+                raise ValueError(f"{len(texts)} texts of {embedder.dim} numbers were asked for, the embedder gave {vectors.shape}")
+            yield pd.Series(list(vectors))
 
     return rows.withColumn(column, run(text))
 
 
+class Reranker(Protocol):
+    """Scores texts against a query, higher is better; batches are tasks' own."""
+
+    def scores(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+#: Adds to rows the score of a text column against a query column: (rows, query column, text column, score column) -> rows.
+Rerank = Callable[[DataFrame, str, str, str], DataFrame]
+
+
+def overlap_rerank(rows: DataFrame, query: str, text: str, score: str) -> DataFrame:
+    """The offline reranker: the share of a query's index tokens that a text holds."""
+    return rows.withColumn(score, token_overlap(F.col(query), F.col(text)))
+
+
+def batched_rerank(reranker: Reranker) -> Rerank:
+    """A reranker that works on Arrow batches; pairs of a batch that it fails on have no score, so that fused scores stay."""
+
+    def run(rows: DataFrame, query: str, text: str, score: str) -> DataFrame:
+        @F.pandas_udf("double")
+        def scores(queries: pd.Series, texts: pd.Series) -> pd.Series:
+            try:
+                return pd.Series(reranker.scores(list(zip(queries, texts, strict=True))), dtype="float64")
+            except Exception:  # a search without the reranker is better than none
+                return pd.Series([None] * len(queries), dtype="float64")
+
+        return rows.withColumn(score, scores(F.col(query), F.col(text)))
+
+    return run
+
+
 def token_overlap(query: Column, text: Column) -> Column:
     """The offline reranker: the share of a query's index tokens that a text holds."""
     asked = F.array_distinct(C.word_tokens(query))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sparkseek.functions import columns as C
 from sparkseek.functions import vocabulary as V
+from sparkseek.session import cut
 
 
 def usable_edges(edges: DataFrame) -> DataFrame:
@@ -27,33 +28,36 @@ def symbol_fanout(chunks: DataFrame, most: int = V.MAX_FANOUT) -> DataFrame:
     return counted.withColumn("resolvable", F.col("definitions") <= most)
 
 
-def callers_of(edges: DataFrame, names: DataFrame, limit: int = V.CALLERS_LIMIT) -> DataFrame:
+def callers_of(edges: DataFrame, names: DataFrame, limit: int = V.CALLERS_LIMIT, stored: bool = False) -> DataFrame:
     """``(qid, callee_name, id, n)``: the first ``limit`` callers of each name (qid, callee_name), by id."""
-    found = usable_edges(edges).join(names.select("qid", "callee_name").distinct(), "callee_name").select("qid", "callee_name", F.col("caller_id").alias("id"))
+    found = (edges if stored else usable_edges(edges)).join(names.select("qid", "callee_name").distinct(), "callee_name").select("qid", "callee_name", F.col("caller_id").alias("id"))
     order = Window.partitionBy("qid", "callee_name").orderBy("id")
     return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
 
 
-def related(chunks: DataFrame, edges: DataFrame, origins: DataFrame, fused: DataFrame, limit: int = V.GRAPH_LIMIT) -> DataFrame:
+def related(chunks: DataFrame, edges: DataFrame, origins: DataFrame, fused: DataFrame, limit: int = V.GRAPH_LIMIT, stored: bool = False) -> DataFrame:
     """``(qid, id, relation, rank)``: the chunks one call away from each query's origins (qid, id), at most ``limit``.
 
     Callees are resolved by symbol unless the name is an accessor, hot, or defined too often; callers are those of the origins'
     symbols and declared names. What is an origin, or already a callee, is not added again; equal content counts once; the order
-    is by fused score, callers first.
+    is by fused score, callers first. Only edges and symbols of the names in question are counted. ``stored``: the edges are those of
+    an index, each once.
     """
-    calls = usable_edges(edges)
-    hot = hot_names(edges).select("callee_name")
+    calls = edges if stored else usable_edges(edges)
     origin_rows = origins.select("qid", "id").distinct()
-    cold = lambda names: names.filter(~C.is_boilerplate(F.col("callee_name"))).join(hot, "callee_name", "left_anti")
     called = calls.join(origin_rows, calls["caller_id"] == origin_rows["id"]).select("qid", "callee_name").distinct()
-    resolvable = symbol_fanout(chunks).filter("resolvable").select(F.col("symbol").alias("callee_name"))
-    places = chunks.select(F.col("symbol").alias("callee_name"), F.col("chunk_id").alias("id"))
-    callees = cold(called).join(resolvable, "callee_name", "left_semi").join(places, "callee_name").select("qid", "id").distinct()
-    callees = callees.join(origin_rows, ["qid", "id"], "left_anti").withColumn("relation", F.lit("callee"))
     own = chunks.join(origin_rows, chunks["chunk_id"] == origin_rows["id"]).select("qid", "symbol", "language", "code")
-    names = own.select("qid", F.explode(F.array_union(F.array("symbol"), C.declared_names(F.col("code"), F.col("language")))).alias("callee_name"))
-    wanted = cold(names.filter("callee_name != ''").distinct())
-    callers = calls.join(wanted, "callee_name").select("qid", F.col("caller_id").alias("id")).distinct()
+    names = own.select("qid", F.explode(F.array_union(F.array("symbol"), C.declared_names(F.col("code"), F.col("language")))).alias("callee_name")).filter("callee_name != ''").distinct()
+    # (qid, name, way) of the names in question, read by each step below
+    asked = cut(called.withColumn("way", F.lit("callee")).unionByName(names.withColumn("way", F.lit("caller"))).filter(~C.is_boilerplate(F.col("callee_name"))))
+    wanted = asked.select("callee_name").distinct()
+    hot = calls.join(wanted, "callee_name", "left_semi").groupBy("callee_name").agg(F.count("*").alias("callers")).filter(F.col("callers") > V.HOT_CALLERS).select("callee_name")
+    cold = asked.join(hot, "callee_name", "left_anti")
+    places = chunks.select(F.col("symbol").alias("callee_name"), F.col("chunk_id").alias("id")).join(wanted, "callee_name", "left_semi")
+    resolvable = places.groupBy("callee_name").agg(F.count("*").alias("n")).filter(F.col("n") <= V.MAX_FANOUT).select("callee_name")
+    callees = cold.filter("way = 'callee'").join(resolvable, "callee_name", "left_semi").join(places, "callee_name").select("qid", "id").distinct()
+    callees = callees.join(origin_rows, ["qid", "id"], "left_anti").withColumn("relation", F.lit("callee"))
+    callers = calls.join(cold.filter("way = 'caller'"), "callee_name").select("qid", F.col("caller_id").alias("id")).distinct()
     callers = callers.join(origin_rows, ["qid", "id"], "left_anti").join(callees, ["qid", "id"], "left_anti").withColumn("relation", F.lit("caller"))
     found = callees.unionByName(callers)
     wide = limit * 3

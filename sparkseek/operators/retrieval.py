@@ -15,9 +15,14 @@ from sparkseek.functions import vocabulary as V
 from sparkseek.session import broadcast_if_small
 
 
-def top_per_query(scored: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    """The first ``k`` rows of each ``qid`` with their rank. The window limits each group before the shuffle."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= k)
+#: The indexed columns of a chunk.
+FIELDS = ("code", "file_path", "symbol")
+
+
+def top_per_query(scored: DataFrame, k: int | None, order: list[Column]) -> DataFrame:
+    """The first ``k`` rows of each ``qid`` (all for None) with their rank. The window limits each group before the shuffle."""
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 #: Rounded distances have this step; rows that may round to one value are told apart by their ids.
@@ -95,21 +100,18 @@ def lengths(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), total.alias("dl"))
 
 
-def bm25(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", fields: list[str] | None = None) -> DataFrame:
-    """``(qid, id, score, rank)``: BM25 of ``queries`` (qid, query) as an OR of phrases over all fields together.
+def stored_postings(rows: DataFrame, id_col: str = "chunk_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``(term, id, field, positions)``: one row for each different token of a field, to be stored by term."""
+    return postings(rows, id_col, list(fields)).groupBy("term", "id", "field").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
-    A word with underscores is a phrase of its parts; repeated words count again; a phrase that more than half of the rows
-    hold gets the smallest weight instead of a negative one. Lower is better. Only postings of queried terms are shuffled.
-    """
-    fields = fields or ["code", "file_path", "symbol"]
-    words = queries.select("qid", F.posexplode(C.query_phrases(F.col("query"))).alias("phrase", "word"))
-    terms = words.select("qid", "phrase", C.word_tokens(F.col("word")).alias("parts")).filter(F.size("parts") > 0)
-    terms = terms.select("qid", "phrase", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part", "term"))
-    hits = postings(rows, id_col, fields).join(broadcast_if_small(terms), "term").select("qid", "phrase", "n_parts", "id", "field", (F.col("pos") - F.col("part")).alias("at"))
-    starts = hits.groupBy("qid", "phrase", "n_parts", "id", "field", "at").count().filter(F.col("count") == F.col("n_parts"))
-    tf = starts.groupBy("qid", "phrase", "id").agg(F.count("*").alias("tf"))
+
+#: Terms up to which a search filters the stored postings by value, so that files and row groups without them are not read.
+FEW_TERMS = 500
+
+
+def _scores(tf: DataFrame, sized: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rows of each query by BM25, from term counts (qid, phrase, id, tf) and lengths (id, dl)."""
     df = tf.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
-    sized = lengths(rows, id_col, fields)
     totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, F.lit(V.IDF_FLOOR)).otherwise(idf)
@@ -119,26 +121,44 @@ def bm25(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id",
     return top_per_query(scored.groupBy("qid", "id").agg(F.round(-F.sum("s"), 6).alias("score")), k, [F.col("score"), F.col("id")])
 
 
-def substring_bm25(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", token_length: int = 3) -> DataFrame:
-    """``(qid, id, score, rank)``: BM25 in which a term of three or more signs matches as a substring; a query's long runs of Han
-    signs are cut into pieces of ``token_length``. Trigrams of the texts are joined with the terms' first trigrams, and only those
-    candidates are counted, so no text meets every term."""
-    plain = rows.select(F.col(id_col).alias("id"), F.lower(C.text(F.col(text_col))).alias("t")).filter("t != ''")
-    words = F.filter(F.regexp_extract_all(F.lower(C.text(F.col("query"))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) >= token_length)
-    cut = F.flatten(F.transform(words, lambda w: F.when(w.rlike(V.CJK), F.transform(F.sequence(F.lit(0), F.length(w) - token_length), lambda i: F.substring(w, i + 1, F.lit(token_length)))).otherwise(F.array(w))))
-    terms = queries.select("qid", F.posexplode(cut).alias("phrase", "term")).withColumn("gram", F.substring("term", 1, 3))
+def bm25(rows: DataFrame | None, queries: DataFrame, k: int, id_col: str = "chunk_id", fields: list[str] | None = None, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``(qid, id, score, rank)``: BM25 of ``queries`` (qid, query) as an OR of phrases over all fields together.
+
+    A word with underscores is a phrase of its parts; repeated words count again; a phrase that more than half of the rows
+    hold gets the smallest weight instead of a negative one. Lower is better. ``stored`` gives (postings, lengths) of an index in place
+    of ``rows``. Only postings of queried terms are shuffled.
+    """
+    fields = fields or list(FIELDS)
+    words = queries.select("qid", F.posexplode(C.query_phrases(F.col("query"))).alias("phrase", "word"))
+    terms = words.select("qid", "phrase", C.word_tokens(F.col("word")).alias("parts")).filter(F.size("parts") > 0)
+    terms = terms.select("qid", "phrase", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part", "term"))
+    if stored is None:
+        held, sized = postings(rows, id_col, fields), lengths(rows, id_col, fields)
+    else:
+        held, sized = stored
+        few = [r.term for r in terms.select("term").distinct().limit(FEW_TERMS + 1).collect()]  # bounded
+        held = held.filter(F.col("term").isin(few)) if len(few) <= FEW_TERMS else held
+        held = held.select("term", "id", "field", F.explode("positions").alias("pos"))
+    hits = held.join(broadcast_if_small(terms), "term").select("qid", "phrase", "n_parts", "id", "field", (F.col("pos") - F.col("part")).alias("at"))
+    starts = hits.groupBy("qid", "phrase", "n_parts", "id", "field", "at").count().filter(F.col("count") == F.col("n_parts"))
+    return _scores(starts.groupBy("qid", "phrase", "id").agg(F.count("*").alias("tf")), sized, k)
+
+
+def substring_bm25(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", fields: tuple[str, ...] = FIELDS, least: int = 3) -> DataFrame:
+    """``(qid, id, score, rank)``: BM25 in which each run of letters, digits and underscores of a query of ``least`` or more signs
+    matches as a substring of any field; a run of Han signs is one such phrase. Trigrams of the texts are joined with the phrases' first
+    trigrams, and only those candidates are counted, so no text meets every phrase."""
+    plain = rows.select(F.col(id_col).alias("id"), *[F.lower(C.text(F.col(f))).alias(f"t{i}") for i, f in enumerate(fields)])
+    texts = [F.col(f"t{i}") for i in range(len(fields))]
+    words = F.filter(F.regexp_extract_all(F.lower(C.text(F.col("query"))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) >= least)
+    terms = queries.select("qid", F.posexplode(words).alias("phrase", "term")).withColumn("gram", F.substring("term", 1, 3))
     # a look-ahead finds every trigram in one pass over the text
-    grams = plain.select("id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(...))"), F.lit(1)))).alias("gram"))
-    candidates = grams.join(broadcast_if_small(terms), "gram").select("qid", "phrase", "term", "id").join(plain, "id")
-    tf = candidates.select("qid", "phrase", "id", ((F.length("t") - F.length(F.replace(F.col("t"), F.col("term")))) / F.length("term")).cast("long").alias("tf")).filter("tf > 0")
-    df = tf.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
-    sized = plain.select("id", F.greatest(F.length("t") - 2, F.lit(0)).alias("dl"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, F.lit(V.IDF_FLOOR)).otherwise(idf)
-    norm = F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("dl") / F.col("avg_dl"))
-    scored = tf.join(df, ["qid", "phrase"]).join(sized, "id").crossJoin(F.broadcast(totals)).select("qid", "id", (weight * F.col("tf") * (V.BM25_K1 + 1) / norm).alias("s"))
-    return top_per_query(scored.groupBy("qid", "id").agg(F.round(-F.sum("s"), 6).alias("score")), k, [F.col("score"), F.col("id")])
+    grams = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit("(?s)(?=(...))"), F.lit(1)) for t in texts])))
+    candidates = plain.select("id", F.explode(grams).alias("gram")).join(broadcast_if_small(terms), "gram").select("qid", "phrase", "term", "id").join(plain, "id")
+    occurrences = sum(((F.length(t) - F.length(F.replace(t, F.col("term")))) / F.length("term") for t in texts), F.lit(0.0))
+    tf = candidates.select("qid", "phrase", "id", occurrences.cast("long").alias("tf")).filter("tf > 0")
+    sized = plain.select("id", sum((F.greatest(F.length(t) - 2, F.lit(0)) for t in texts), F.lit(0)).alias("dl"))
+    return _scores(tf, sized, k)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int | None = None) -> DataFrame:
@@ -153,4 +173,4 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int | None = None) -> DataFram
     share = F.col("weight") / (V.RRF_K + F.col("rank"))
     fused = united.groupBy("qid", "id").agg(F.round(F.sum(share), 9).alias("score"), F.min(F.struct("path", "rank")).alias("first"))
     fused = fused.select("qid", "id", "score", F.col("first.path").alias("path"), F.col("first.rank").alias("path_rank"))
-    return top_per_query(fused, k or 1_000_000, [F.desc("score"), F.col("path"), F.col("path_rank"), F.col("id")])
+    return top_per_query(fused, k, [F.desc("score"), F.col("path"), F.col("path_rank"), F.col("id")])

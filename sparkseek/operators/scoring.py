@@ -51,7 +51,7 @@ def score(candidates: DataFrame) -> DataFrame:
 def pair_implementations(scored: DataFrame) -> DataFrame:
     """Where a query's candidates hold file stems X and XImpl, the best chunk of XImpl rises just above the undecayed best of X."""
     rows = scored.withColumn("stem", C.file_stem(F.col("file_path"))).withColumn("_ord", F.coalesce(F.col("rank"), F.lit(0)))
-    best = rows.groupBy("qid", "stem").agg(F.max(F.col("score") / F.col("decl_mult")).alias("base"), F.max_by("id", F.struct("score", -F.col("_ord"))).alias("best_id"))
+    best = rows.groupBy("qid", "stem").agg(F.max(F.col("score") / F.col("decl_mult")).alias("base"), F.max_by("id", F.struct("score", -F.col("_ord"), -F.col("id"))).alias("best_id"))
     impl = best.filter(F.col("stem").rlike(".Impl$")).select("qid", F.regexp_replace("stem", "Impl$", "").alias("stem"), F.col("best_id").alias("impl_id"))
     lift = impl.join(best.select("qid", "stem", "base"), ["qid", "stem"]).groupBy("qid", F.col("impl_id").alias("id")).agg(F.max("base").alias("base"))
     out = rows.drop("stem", "_ord").join(lift, ["qid", "id"], "left")
@@ -59,18 +59,21 @@ def pair_implementations(scored: DataFrame) -> DataFrame:
 
 
 def diversify(scored: DataFrame, top_n: int, per_file: int = V.MAX_PER_FILE, path_filter: str | None = None) -> DataFrame:
-    """The first ``top_n`` of each query after the path filter, at most ``per_file`` of a file (none of 0 or less)."""
+    """The first ``top_n`` of each query after the path filter, at most ``per_file`` of a file (any number for 0 or less). Equal scores
+    keep the order ``ord`` of the candidates, where they have one, and then that of their ids."""
     rows = scored.filter(C.path_matches(F.col("file_path"), path_filter)) if path_filter else scored
-    order = [F.desc("score"), F.col("id")]
+    order = [F.desc("score"), *([F.col("ord")] if "ord" in rows.columns else []), F.col("id")]
     if per_file > 0:
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "file_path").orderBy(*order))).filter(F.col("_n") <= per_file).drop("_n")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= top_n)
 
 
 def inject(candidates: DataFrame, hits: DataFrame) -> DataFrame:
-    """Structured hits (qid, id) get the fixed top score; those that are no candidates yet are added."""
-    a, b = candidates.select("qid", "id", "score"), hits.select("qid", "id").distinct().withColumn("hit", F.lit(True))
-    return a.join(b, ["qid", "id"], "full_outer").select("qid", "id", F.when(F.col("hit"), F.lit(V.INTENT_SCORE)).otherwise(F.col("score")).alias("score"))
+    """Structured hits (qid, id) get the fixed top score; those that are no candidates yet are added, behind all others in ``ord``."""
+    carried = [c for c in candidates.columns if c not in ("qid", "id", "score")]
+    a, b = candidates.select("qid", "id", "score", *carried), hits.select("qid", "id").distinct().withColumn("hit", F.lit(True))
+    out = a.join(b, ["qid", "id"], "full_outer").select("qid", "id", F.when(F.col("hit"), F.lit(V.INTENT_SCORE)).otherwise(F.col("score")).alias("score"), *carried)
+    return out.withColumn("ord", F.coalesce("ord", F.lit(2**31 - 1))) if "ord" in carried else out
 
 
 def mix_subquery_scores(candidates: DataFrame, sub_scores: DataFrame, least: float) -> DataFrame:
@@ -84,16 +87,17 @@ def mix_subquery_scores(candidates: DataFrame, sub_scores: DataFrame, least: flo
 
 
 def rescue(results: DataFrame, candidates: DataFrame, probes: DataFrame, top_n: int, least: float, subs: int = 2) -> DataFrame:
-    """For each sub-query whose probe files (qid, sub, file_path) no result holds: its best candidate (qid, id, file_path, score,
-    sub_score) is added, in place of the lowest result that was not rescued if there are already ``top_n``. Sub-queries follow one
+    """For each sub-query whose probes' files (qid, sub, id, file_path) no result holds: the best of its probes that are candidates (qid,
+    id, file_path, score, sub_score) is added, in place of the lowest result that was not rescued if there are already ``top_n``. Sub-queries follow one
     another, as each rescue changes what is held."""
     cols = ["qid", "id", "file_path", "score"]
     current = results.select(*cols).withColumn("rescued", F.lit(False))
     for sub in range(subs):
-        own = probes.filter(F.col("sub") == sub).select("qid", "file_path").distinct()
+        asked = probes.filter(F.col("sub") == sub)
+        own = asked.select("qid", "file_path").distinct()
         held = own.join(current.select("qid", "file_path").distinct(), ["qid", "file_path"], "left_semi").select("qid").distinct()
         missing = own.select("qid").distinct().join(held, "qid", "left_anti")
-        pool = candidates.filter(F.col("sub_score") >= least).join(own, ["qid", "file_path"], "left_semi").join(missing, "qid", "left_semi")
+        pool = candidates.filter(F.col("sub_score") >= least).join(asked.select("qid", "id").distinct(), ["qid", "id"], "left_semi").join(missing, "qid", "left_semi")
         pool = pool.join(current.select("qid", "id"), ["qid", "id"], "left_anti")
         best = pool.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sub_score"), "id"))).filter("_n = 1")
         best = best.select(*cols).withColumn("rescued", F.lit(True))

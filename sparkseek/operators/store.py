@@ -1,4 +1,4 @@
-"""Versioned snapshots of the index: each version is written whole, then a one-line pointer is renamed over the old one."""
+"""Versioned snapshots of the index: each version is written whole, then one commit file that is never changed is created for it."""
 
 from __future__ import annotations
 
@@ -15,10 +15,11 @@ class ProfileMismatch(ValueError):
 
 
 class Snapshots:
-    """The datasets of one index directory, on any file system Spark can write to. Readers resolve the pointer once."""
+    """The datasets of one index directory, on any file system Spark can write to. Readers take the highest commit file."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._claimed: dict[str, str] = {}
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -26,46 +27,61 @@ class Snapshots:
     def _read_text(self, name: str) -> str | None:
         if not self._fs.exists(self._path(f"{self.root}/{name}")):
             return None
-        return "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}").collect())
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def _write_text(self, name: str, text: str) -> None:
-        """Written beside, then renamed, so a reader sees the old text or the new one."""
-        beside = self._path(f"{self.root}/.{name}-{uuid.uuid4().hex}")
-        out = self._fs.create(beside, True)
+        """A new file; creating one that exists fails, so of two writers of one name only one succeeds."""
+        out = self._fs.create(self._path(f"{self.root}/{name}"), False)
         out.write(bytearray(text.encode()))
         out.close()
-        target = self._path(f"{self.root}/{name}")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(beside, target)
 
     def version(self) -> int:
-        text = self._read_text("CURRENT")
-        return int(text) if text else 0
+        """The highest committed version; 0 for an empty index. Commit files are never changed, deleted or renamed."""
+        folder = self._path(f"{self.root}/commits")
+        # a file that is still being written is empty
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder) if f.getLen()] if self._fs.exists(folder) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def profile(self) -> dict[str, str]:
+        """The profile of the committed version."""
+        version = self.version()
+        return json.loads(self._read_text(f"commits/{version}") or "{}").get("profile", {}) if version else {}
 
-    def check_profile(self, profile: dict[str, str]) -> None:
-        """Claims an empty index; refuses one that has rows and another profile. An empty model name is not compared."""
+    def check_profile(self, profile: dict[str, str]) -> dict[str, str]:
+        """The profile that the next commit carries. An index that has rows refuses another one; an empty model name is not compared."""
         wanted = {"index_format": INDEX_FORMAT} | {k: str(v) for k, v in profile.items()}
-        stored = json.loads(self._read_text("PROFILE") or "{}")
-        if self.version():
-            for key, value in stored.items():
-                if key in wanted and wanted[key] != value and not (key == "embed_model" and not wanted[key]):
-                    raise ProfileMismatch(f"{key}: the index has {value!r}, not {wanted[key]!r}")
-        self._write_text("PROFILE", json.dumps(stored | wanted))
-
-    def read(self, name: str) -> DataFrame | None:
-        at = f"{self.root}/v={self.version()}/{name}"
-        return self.spark.read.parquet(at) if self._fs.exists(self._path(at)) else None
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """A new version of all tables; nothing changes for readers if any write fails."""
+        stored = self.profile()
+        for key, value in stored.items():
+            if key in wanted and wanted[key] != value and not (key == "embed_model" and not wanted[key]):
+                raise ProfileMismatch(f"{key}: the index has {value!r}, not {wanted[key]!r}")
+        self._claimed = stored | self._claimed | wanted
+        return self._claimed
+
+    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        """A table of the committed (or the given) version; None if it has none of the name."""
+        commit = self._commit(self.version() if version is None else version)
+        return self.spark.read.parquet(f"{self.root}/{commit['folder']}/{name}") if name in commit.get("tables", ()) else None
+
+    def _commit(self, version: int) -> dict:
+        return json.loads(self._read_text(f"commits/{version}") or "{}") if version else {}
+
+    def commit(self, tables: dict[str, DataFrame], profile: dict[str, str] | None = None, sorted_by: dict[str, str] | None = None) -> int:
+        """A new version of all tables: they are written to a folder of their own, then one commit file is created under the next
+        number. Readers see the old version or the new one, never a part; a writer that was overtaken fails and changes nothing.
+        ``sorted_by``: a table's column that its files are ranged by, so that a filter on it reads few row groups."""
         version = self.version() + 1
-        at = f"{self.root}/v={version}"
+        carried = self.check_profile(profile or {})
+        folder = f"data/{version}-{uuid.uuid4().hex}"
         try:
             for name, rows in tables.items():
-                rows.write.mode("overwrite").parquet(f"{at}/{name}")
+                column = (sorted_by or {}).get(name)
+                (rows.repartitionByRange(column).sortWithinPartitions(column) if column else rows).write.parquet(f"{self.root}/{folder}/{name}")
+            self._write_text(f"commits/{version}", json.dumps({"folder": folder, "tables": sorted(tables), "profile": carried}))
         except Exception:
-            self._fs.delete(self._path(at), True)
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
             raise
-        self._write_text("CURRENT", str(version))
         return version

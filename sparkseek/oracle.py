@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sparkseek.functions import columns as C
 from sparkseek.functions import vocabulary as V
 
 
@@ -38,13 +39,24 @@ def _intent(x: str, key: str) -> str:
 
 def _declaration(code: str, lang: str) -> str:
     return (
-        f"CASE WHEN {lang} = 'java' THEN contains({code}, '@FeignClient') OR regexp_matches({code}, '(?m)^\\s*(?:public\\s+)?(?:@\\w+(?:\\([^)]*\\))?\\s+)*interface\\s+\\w') "
-        f"WHEN {lang} IN ('typescript', 'tsx') THEN regexp_matches({code}, '^\\s*(?:export\\s+)?interface\\s') ELSE false END"
+        f"CASE WHEN {lang} = 'java' THEN contains({code}, '{V.CONTRACT_MARK}') OR regexp_matches({code}, '{V.JAVA_INTERFACE}') "
+        f"WHEN {lang} IN ('typescript', 'tsx') THEN regexp_matches({code}, '{V.SCRIPT_INTERFACE}') ELSE false END"
     )
 
 
 def _entity(code: str, lang: str) -> str:
-    return f"({lang} = 'java' AND (contains({code}, '@TableName') OR (contains({code}, '@Data') AND contains({code}, 'class '))) AND NOT regexp_matches({code}, '\\b(if|for|while|switch|return)\\b'))"
+    table, data = V.CARRIER_MARKS
+    return f"({lang} = 'java' AND (contains({code}, '{table}') OR (contains({code}, '{data}') AND contains({code}, 'class '))) AND NOT regexp_matches({code}, '{V.CONTROL_FLOW}'))"
+
+
+def _called(code: str, lang: str) -> str:
+    """The list of names that a chunk calls, repeated ones included."""
+    q = lambda x: x.replace("'", "''")
+    case = " ".join(f"WHEN {lang} IN ({_list(tuple(x for x, s in C.CALLING.items() if s == sign))}) THEN regexp_replace({code}, '{q(p)}', ' ', 'g')" for sign, p in C.NO_CODE.items())
+    bare = f"regexp_replace(CASE {case} ELSE {code} END, '{q(C.HEADS)}', '(', 'g')"
+    only = lambda languages, p: f"CASE WHEN {lang} IN ({_list(languages)}) THEN regexp_extract_all(bare, '{q(p)}', 1) ELSE [] END"
+    names = ", ".join(["regexp_extract_all(bare, '" + q(C.CALLED) + "', 1)", only(C.CONSTRUCTING, C.CONSTRUCTED), only(C.RECEIVING, C.RECEIVED), only(C.MACROS, C.MACRO)])
+    return bare, f"list_concat({names})", _list(tuple(C.CALLING))
 
 
 def _boilerplate(x: str) -> str:
@@ -75,22 +87,54 @@ def _fingerprints(which: str, name: str, where: str = "true") -> str:
       SELECT file_path, {fn}({{'m': coalesce(mtime, '-infinity'::DOUBLE), 'h': coalesce(file_hash, ''), 's': coalesce(size, -1)}}) AS f FROM files WHERE file_path IS NOT NULL AND {where} GROUP BY file_path))"""
 
 
-def _bm25(queries: str, k: int = 20, rows: str = "corpus", key: str = "chunk_id", fields: tuple[str, ...] = ("code", "file_path", "symbol")) -> str:
-    """CTEs that end in ``bm25(qid, id, score, rank)`` for a CTE ``queries`` (qid, query)."""
+def _bm25(queries: str, k: int = 20, rows: str = "corpus", key: str = "chunk_id", fields: tuple[str, ...] = ("code", "file_path", "symbol"), p: str = "") -> str:
+    """CTEs that end in ``bm25(qid, id, score, rank)`` for a CTE ``queries`` (qid, query); ``p`` is put before all their names."""
     union = " UNION ALL ".join(f"SELECT {key} AS id, {i} AS field, {_tokens(f)} AS toks FROM {rows}" for i, f in enumerate(fields))
-    return f"""fields AS ({union}),
-  post AS (SELECT id, field, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM fields),
-  sized AS (SELECT id, sum(len(toks)) AS dl FROM fields GROUP BY id),
-  totals AS (SELECT count(*) AS n, avg(dl) AS avg_dl FROM sized),
-  phrases AS (SELECT qid, unnest(w) AS word, unnest(range(len(w))) AS phrase FROM (SELECT qid, list_filter(regexp_extract_all(coalesce(query, ''), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 2) AS w FROM {queries})),
-  split AS (SELECT qid, phrase, {_tokens("word")} AS parts FROM phrases),
-  terms AS (SELECT qid, phrase, len(parts) AS n_parts, unnest(parts) AS term, unnest(range(len(parts))) AS part FROM split),
-  starts AS (SELECT qid, phrase, id, field, pos - part AS at FROM post JOIN terms USING (term) GROUP BY qid, phrase, n_parts, id, field, pos - part HAVING count(*) = n_parts),
-  tf AS (SELECT qid, phrase, id, count(*) AS tf FROM starts GROUP BY qid, phrase, id),
-  df AS (SELECT qid, phrase, count(*) AS df FROM tf GROUP BY qid, phrase),
-  summed AS (SELECT qid, id, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN {V.IDF_FLOOR:.6f} ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))), 6) AS score
-     FROM tf JOIN df USING (qid, phrase) JOIN sized USING (id), totals GROUP BY qid, id),
-  bm25 AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM summed QUALIFY rank <= {k})"""
+    return f"""{p}fields AS ({union}),
+  {p}post AS (SELECT id, field, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM {p}fields),
+  {p}sized AS (SELECT id, sum(len(toks)) AS dl FROM {p}fields GROUP BY id),
+  {p}totals AS (SELECT count(*) AS n, avg(dl) AS avg_dl FROM {p}sized),
+  {p}phrases AS (SELECT qid, unnest(w) AS word, unnest(range(len(w))) AS phrase FROM (SELECT qid, list_filter(regexp_extract_all(coalesce(query, ''), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 2) AS w FROM {queries})),
+  {p}split AS (SELECT qid, phrase, {_tokens("word")} AS parts FROM {p}phrases),
+  {p}terms AS (SELECT qid, phrase, len(parts) AS n_parts, unnest(parts) AS term, unnest(range(len(parts))) AS part FROM {p}split),
+  {p}begun AS (SELECT qid, phrase, id, field, pos - part AS at FROM {p}post JOIN {p}terms USING (term) GROUP BY qid, phrase, n_parts, id, field, pos - part HAVING count(*) = n_parts),
+  {p}tf AS (SELECT qid, phrase, id, count(*) AS tf FROM {p}begun GROUP BY qid, phrase, id),
+  {p}df AS (SELECT qid, phrase, count(*) AS df FROM {p}tf GROUP BY qid, phrase),
+  {p}summed AS (SELECT qid, id, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN {V.IDF_FLOOR:.6f} ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))), 6) AS score
+     FROM {p}tf JOIN {p}df USING (qid, phrase) JOIN {p}sized USING (id), {p}totals GROUP BY qid, id),
+  {p}bm25 AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM {p}summed QUALIFY rank <= {k})"""
+
+
+_SEP = "(?:以及|并且|同时|和|与|并|及)"
+_COMPOUND = "regexp_replace(query, '[+＋]', chr(1), 'g')"
+for _ in range(2):  # neighbouring matches share a sign, so twice
+    _COMPOUND = f"regexp_replace({_COMPOUND}, '([一-鿿]){_SEP}([一-鿿])', '\\1' || chr(1) || '\\2', 'g')"
+
+
+def _substrings(name: str, queries: str, rows: str, key: str, fields: tuple[str, ...], k: int) -> str:
+    """CTEs that end in ``name(qid, id, score, rank)``: BM25 over substrings of the fields."""
+    n = name
+    count = lambda f: f"(length({f}) - length(replace({f}, term, ''))) // length(term)"
+    low = ", ".join(f"lower(coalesce({f}, '')) AS {f}" for f in fields)
+    return f"""{n}_rows AS (SELECT {key} AS id, {low} FROM {rows}),
+  {n}_terms AS (SELECT qid, unnest(w) AS term, unnest(range(len(w))) AS phrase FROM (SELECT qid, list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 3) AS w FROM {queries})),
+  {n}_tf AS (SELECT qid, phrase, id, {" + ".join(count(f) for f in fields)} AS tf FROM {n}_terms, {n}_rows WHERE {" OR ".join(f"contains({f}, term)" for f in fields)}),
+  {n}_df AS (SELECT qid, phrase, count(*) AS df FROM {n}_tf GROUP BY qid, phrase), {n}_sized AS (SELECT id, {" + ".join(f"greatest(length({f}) - 2, 0)" for f in fields)} AS dl FROM {n}_rows), {n}_totals AS (SELECT count(*) AS n, avg(dl) AS avg_dl FROM {n}_sized),
+  {n}_summed AS (SELECT qid, id, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN {V.IDF_FLOOR:.6f} ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))), 6) AS score
+    FROM {n}_tf JOIN {n}_df USING (qid, phrase) JOIN {n}_sized USING (id), {n}_totals GROUP BY qid, id),
+  {n} AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM {n}_summed QUALIFY rank <= {k})"""
+
+
+def _halves(queries: str) -> str:
+    return f"halves AS (SELECT qid, unnest(parts) AS query, unnest(range(len(parts))) AS sub FROM (SELECT qid, list_filter(list_transform(string_split({_COMPOUND}, chr(1)), lambda p: trim(p, ' ')), lambda p: length(p) >= {V.COMPOUND_MIN}) AS parts FROM {queries}) WHERE len(parts) = 2)"
+
+
+def _half_lists(sub: int) -> str:
+    """CTEs that end in ``half<sub>(qid, id, rank)``: substrings for halves with Han signs, words for the others."""
+    own, p = f"SELECT qid, query FROM halves WHERE sub = {sub} AND", f"h{sub}_"
+    han = f"regexp_matches(query, '{V.CJK}')"
+    return f"""{_bm25(f"({own} NOT {han})", 50, p=p)}, {_substrings(p + "tri", f"({own} {han})", "corpus", "chunk_id", ("code", "file_path", "symbol"), 50)},
+  half{sub} AS (SELECT qid, id, rank FROM {p}bm25 UNION ALL SELECT qid, id, rank FROM {p}tri)"""
 
 
 TEXT_QUERIES = "asked AS (SELECT DISTINCT item_id AS qid, query, cat FROM golden_items WHERE query IS NOT NULL AND item_id % 50 = 0)"
@@ -118,10 +162,8 @@ _EMBED = """CASE WHEN coalesce(file_path, '') = '' AND symbol = '' AND language
 
 
 def _declared(code: str, lang: str) -> str:
-    from sparkseek.functions.columns import DECLARED
-
     cases = " ".join(
-        f"WHEN '{key}' THEN list_concat(" + ", ".join([f"regexp_extract_all({code}, '{p}', 1)" for p in patterns] + (["[]::VARCHAR[]"] if len(patterns) == 1 else [])) + ")" for key, patterns in DECLARED.items()
+        f"WHEN '{key}' THEN list_concat(" + ", ".join([f"regexp_extract_all({code}, '{p}', 1)" for p in patterns] + (["[]::VARCHAR[]"] if len(patterns) == 1 else [])) + ")" for key, patterns in V.DECLARED.items()
     )
     names = f"CASE replace({lang}, 'tsx', 'typescript') {cases} ELSE [] END"
     keep = f"length(n) >= {V.DECLARED_MIN} AND n NOT IN ({_list(V.DECLARED_STOP)}) AND NOT {_boilerplate('n')} AND NOT ({lang} IN ('java', 'typescript', 'tsx') AND regexp_matches(n, '^[A-Z]'))"
@@ -133,6 +175,7 @@ def _ordered_distinct(name: str) -> str:
     return f"list_filter({name}, lambda x, i: list_position({name}, x) = i)"
 
 
+_BARE, _CALLS, _CALLING = _called("code", "language")
 _NAMES, _KEEP = _declared("code", "language")
 DECLARED = f"declared AS (SELECT chunk_id, list_filter({_NAMES}, lambda n: {_KEEP}) AS all_names FROM corpus)"
 
@@ -163,9 +206,15 @@ def _symbol_scored() -> str:
     return f"{CORPUS}, {SYMBOL_QUERIES}, {_bm25('asked')}, ss AS (SELECT b.qid, b.id, round(-b.score, 6) AS score, b.rank AS r0, c.file_path FROM bm25 b JOIN corpus c ON b.id = c.chunk_id)"
 
 
-def _capped(where: str = "true", n: int = 10, source: str = "ss") -> str:
-    return f"""few AS (SELECT * FROM {source} WHERE {where} QUALIFY row_number() OVER (PARTITION BY qid, file_path ORDER BY score DESC, id) <= {V.MAX_PER_FILE}),
-  top AS (SELECT qid, id, file_path, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM few QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= {n})"""
+def _capped(where: str = "true", n: int = 10, source: str = "ss", tie: str = "id") -> str:
+    return f"""few AS (SELECT * FROM {source} WHERE {where} QUALIFY row_number() OVER (PARTITION BY qid, file_path ORDER BY score DESC, {tie}) <= {V.MAX_PER_FILE}),
+  top AS (SELECT qid, id, file_path, score, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {tie}) AS place FROM few) WHERE place <= {n})"""
+
+
+#: CTEs that end in ``paired``: ``scored`` with implementations lifted above their interfaces.
+_PAIRED = f"""stemmed AS (SELECT *, regexp_extract({_base("file_path")}, '^([^.]*)', 1) AS stem FROM scored), best_of AS (SELECT qid, stem, max(score / decl_mult) AS base, arg_max(id, (score, -rank, -id)) AS best_id FROM stemmed GROUP BY qid, stem),
+  lift AS (SELECT i.qid, i.best_id AS id, max(x.base) AS base FROM best_of i JOIN best_of x ON i.qid = x.qid AND i.stem = x.stem || 'Impl' GROUP BY i.qid, i.best_id),
+  paired AS (SELECT s.qid, s.id, s.rank, s.file_path, CASE WHEN l.base > s.score THEN l.base * 1.01::DOUBLE ELSE s.score END AS score FROM scored s LEFT JOIN lift l ON l.qid = s.qid AND l.id = s.id)"""
 
 
 def _related(origins: str) -> str:
@@ -183,11 +232,6 @@ def _related(origins: str) -> str:
 
 _FORCED = f"{_base('file_path')} IN ({_list(V.FORCED_FILES)})"
 
-_SEP = "(?:以及|并且|同时|和|与|并|及)"
-_COMPOUND = "regexp_replace(query, '[+＋]', chr(1), 'g')"
-for _ in range(2):  # neighbouring matches share a sign, so twice
-    _COMPOUND = f"regexp_replace({_COMPOUND}, '([一-鿿]){_SEP}([一-鿿])', '\\1' || chr(1) || '\\2', 'g')"
-
 SQL: dict[str, str] = {
     "chunk_lines": f"WITH {_windows(60, 50)} SELECT doc_id, 'lines_' || (i + 1) AS symbol, i + 1 AS start_line, least(i + 60, n) AS end_line, sha256(doc_id || chr(0) || code) AS blob_hash FROM cut WHERE regexp_matches(code, '\\S')",
     "chunk_lines_short": f"WITH {_windows(12, 8)} SELECT doc_id, 'lines_' || (i + 1) AS symbol, i + 1 AS start_line, least(i + 12, n) AS end_line, length(code) AS n_chars FROM cut WHERE regexp_matches(code, '\\S')",
@@ -206,7 +250,7 @@ SQL: dict[str, str] = {
       AND len(list_filter(string_split(file_path, '/')[1:-2], lambda x: x IN ({_list(V.IGNORED_DIRS)}) OR (x LIKE '.%' AND x NOT IN ({_list(V.ALLOWED_DOT_DIRS)})))) = 0 AND coalesce(size, 0) <= {V.MAX_FILE_SIZE} AS admitted FROM files WHERE file_path IS NOT NULL""",
     "stats": f"WITH {CORPUS} SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, count(DISTINCT nullif(symbol, '')) AS symbols FROM corpus",
     "meaningful": f"WITH {CORPUS} SELECT chunk_id, len(string_split(code, chr(10))) >= 3 OR length(regexp_replace(code, '^\\s+|\\s+$', '', 'g')) >= 40 AS meaningful FROM corpus",
-    "edge_extract": f"WITH {CORPUS}, named AS (SELECT DISTINCT chunk_id AS caller_id, unnest(regexp_extract_all(code, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)) AS callee_name FROM corpus) SELECT * FROM named WHERE callee_name NOT IN ({_list(V.CALL_STOP + V.CALL_KEYWORDS)})",
+    "edge_extract": f"WITH {CORPUS}, bared AS (SELECT chunk_id, language, {_BARE} AS bare FROM corpus WHERE language IN ({_CALLING})), named AS (SELECT DISTINCT chunk_id AS caller_id, unnest({_CALLS}) AS callee_name FROM bared) SELECT * FROM named WHERE callee_name NOT IN ({_list(V.CALL_STOP + V.CALL_KEYWORDS)})",
     "whole_files": """WITH pieces AS (SELECT DISTINCT file_path, coalesce(start_line, 1) AS s, string_split(code, chr(10)) AS l FROM chunks WHERE file_path IS NOT NULL AND code IS NOT NULL),
       lines AS (SELECT file_path, s, s + i AS pos, l[i + 1] AS line FROM (SELECT file_path, s, l, unnest(range(len(l))) AS i FROM pieces)),
       once AS (SELECT file_path, pos, arg_min(line, (s, line)) AS line FROM lines GROUP BY file_path, pos), whole AS (SELECT file_path, string_agg(line, chr(10) ORDER BY pos) AS code FROM once GROUP BY file_path)
@@ -216,9 +260,9 @@ SQL: dict[str, str] = {
     "fts_tokens": f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, md5(array_to_string({_tokens('text')}, ' ')) AS tokens_md5 FROM documents",
     "declared_names": f"WITH {CORPUS}, {DECLARED} SELECT chunk_id, array_to_string({_ordered_distinct('all_names')}[1:{V.DECLARED_MOST}], ' ') AS names FROM declared",
     "file_classes": f"WITH {CORPUS} SELECT chunk_id, {_TEST} AS test, {_base('file_path')} IN ({_list(V.BARREL_FILES)}) AS barrel, {_declaration('code', 'language')} AS declaration, {_entity('code', 'language')} AS entity, {_boilerplate('symbol')} AS boilerplate FROM corpus",
-    "vector_serialise": f"WITH {VECTORS}, q AS (SELECT chunk_id, list_transform(embedding, lambda x: round(x::DOUBLE * 127)::INT) AS v FROM vectors) SELECT chunk_id, list_sum(v)::BIGINT AS total, list_sum(list_transform(v, lambda x: x * x))::BIGINT AS squares FROM q",
+    "vector_serialise": f"WITH {VECTORS}, q AS (SELECT chunk_id, list_transform(embedding, lambda x: greatest(-128, least(127, round(x::DOUBLE * 127)))::INT) AS v FROM vectors) SELECT chunk_id, list_sum(v)::BIGINT AS total, list_sum(list_transform(v, lambda x: x * x))::BIGINT AS squares FROM q",
     "knn_l2": f"WITH {VECTORS}, {_knn(10)} SELECT * FROM knn",
-    "knn_int8": f"WITH {VECTORS}, small AS (SELECT chunk_id, list_transform(embedding, lambda x: round(x::DOUBLE * 127)::INT) AS embedding FROM vectors), {_knn(10, 'small')} SELECT * FROM knn",
+    "knn_int8": f"WITH {VECTORS}, small AS (SELECT chunk_id, list_transform(embedding, lambda x: greatest(-128, least(127, round(x::DOUBLE * 127)))::INT) AS embedding FROM vectors), {_knn(10, 'small')} SELECT * FROM knn",
     "bm25_topk": f"WITH {CORPUS}, {TEXT_QUERIES}, {_bm25('asked')} SELECT * FROM bm25",
     "bm25_symbols": f"WITH {CORPUS}, {SYMBOL_QUERIES}, {_bm25('asked')} SELECT * FROM bm25",
     "intent_score": f"WITH {CORPUS}, {TEXT_QUERIES}, {_bm25('asked')}, {SCORED} SELECT qid, id, round(decl_mult, 6) AS decl_mult, round(score, 6) AS score FROM scored",
@@ -240,7 +284,7 @@ SQL: dict[str, str] = {
     "debounce_bursts": f"""WITH {USABLE}, r AS (SELECT string_split(file_path, '/')[1] AS repo, seen_at FROM usable), g AS (SELECT *, CASE WHEN seen_at <= lag(seen_at) OVER (PARTITION BY repo ORDER BY seen_at) + INTERVAL {V.DEBOUNCE_SECONDS} SECOND THEN 0 ELSE 1 END AS fresh FROM r),
       s AS (SELECT *, sum(fresh) OVER (PARTITION BY repo ORDER BY seen_at ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT repo, min(seen_at) AS started, max(seen_at) AS ended, count(*) AS changes FROM s GROUP BY repo, burst""",
     "count_flush": f"WITH {USABLE} SELECT string_split(file_path, '/')[1] AS repo, count(*) // {V.FLUSH_COUNT} AS flushes, count(*) % {V.FLUSH_COUNT} AS pending FROM usable GROUP BY repo",
-    "topk_agreement": f"""WITH {VECTORS}, small AS (SELECT chunk_id, list_transform(embedding, lambda x: round(x::DOUBLE * 127)::INT) AS embedding FROM vectors), {_knn(5)},
+    "topk_agreement": f"""WITH {VECTORS}, small AS (SELECT chunk_id, list_transform(embedding, lambda x: greatest(-128, least(127, round(x::DOUBLE * 127)))::INT) AS embedding FROM vectors), {_knn(5)},
       pairs2 AS (SELECT v.chunk_id AS qid, x.chunk_id AS id, round(list_distance(x.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS dist FROM small v, small x WHERE v.chunk_id % 50 = 0), knn2 AS (SELECT qid, id FROM pairs2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, id) <= 5)
       SELECT qid, count(b.id) AS shared FROM knn a LEFT JOIN knn2 b USING (qid, id) GROUP BY qid""",
     "rrf_fusion": f"""WITH {CORPUS}, {VECTORS}, asked AS (SELECT c.chunk_id AS qid, c.symbol AS query FROM corpus c JOIN vectors v USING (chunk_id) WHERE c.symbol <> '' AND c.chunk_id % 50 = 0), {_bm25("asked")}, {_knn(20, where="v.chunk_id IN (SELECT qid FROM asked)")},
@@ -255,21 +299,35 @@ SQL: dict[str, str] = {
     "query_intents": f"""SELECT item_id, {", ".join(f"{_intent('query', k)} AS {k}" for k in V.INTENTS)}, CASE WHEN len(parts) = 2 THEN array_to_string(parts, '|') ELSE '' END AS halves, array_to_string(list_sort(names), '|') AS named FROM (
       SELECT q.item_id, q.query, list_filter(list_transform(string_split({_COMPOUND}, chr(1)), lambda p: trim(p, ' ')), lambda p: length(p) >= {V.COMPOUND_MIN}) AS parts, i.names FROM (SELECT DISTINCT item_id, query FROM golden_items) q
       JOIN (WITH named_queries AS (SELECT DISTINCT item_id AS qid, query FROM golden_items), {IDENTS} SELECT * FROM idents) i ON i.qid = q.item_id)""",
-    "trigram_match": f"""WITH docs AS (SELECT doc_id AS id, lower(min(text)) AS t FROM documents WHERE text IS NOT NULL GROUP BY doc_id HAVING min(text) <> ''), asked AS (SELECT DISTINCT item_id AS qid, query FROM golden_items WHERE lang = 'zh' AND query IS NOT NULL),
-      words AS (SELECT qid, unnest(w) AS word, unnest(range(len(w))) AS n FROM (SELECT qid, list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 3) AS w FROM asked)),
-      cut AS (SELECT qid, n, unnest(CASE WHEN regexp_matches(word, '{V.CJK}') THEN list_transform(range(length(word) - 2), lambda i: word[i + 1 : i + 3]) ELSE [word] END) AS term FROM words),
-      terms AS (SELECT qid, term, row_number() OVER () AS phrase FROM cut),
-      tf AS (SELECT qid, phrase, id, (length(t) - length(replace(t, term, ''))) // length(term) AS tf FROM terms, docs WHERE contains(t, term)),
-      df AS (SELECT qid, phrase, count(*) AS df FROM tf GROUP BY qid, phrase), totals AS (SELECT count(*) AS n, avg(greatest(length(t) - 2, 0)) AS avg_dl FROM docs),
-      summed AS (SELECT qid, id, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN {V.IDF_FLOOR:.6f} ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(length(t) - 2, 0) / avg_dl))), 6) AS score
-        FROM tf JOIN df USING (qid, phrase) JOIN docs USING (id), totals GROUP BY qid, id)
-      SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM summed QUALIFY rank <= 20""",
+    "trigram_match": f"""WITH docs AS (SELECT doc_id AS id, min(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id), asked AS (SELECT DISTINCT item_id AS qid, query FROM golden_items WHERE lang = 'zh' AND query IS NOT NULL),
+      {_substrings("tri", "asked", "docs", "id", ("text",), 20)} SELECT qid, id, score, rank FROM tri""",
+    "hybrid_search_golden": f"""WITH {CORPUS}, {CALLS}, {HOT}, {DECLARED}, asked AS (SELECT DISTINCT item_id AS qid, query FROM golden_items WHERE query IS NOT NULL), {_halves("asked")},
+      {_bm25("asked", 50)}, {_substrings("tri", f"(SELECT * FROM asked WHERE regexp_matches(query, '{V.CJK}'))", "corpus", "chunk_id", ("code", "file_path", "symbol"), 50)},
+      {_half_lists(0)}, {_half_lists(1)},
+      lists AS (SELECT qid, id, rank, 0 AS path, 1.0::DOUBLE AS w FROM bm25 UNION ALL SELECT qid, id, rank, 1, 1.0 FROM tri UNION ALL SELECT qid, id, rank, 2, {V.WEIGHTS["sub"]} FROM half0 UNION ALL SELECT qid, id, rank, 3, {V.WEIGHTS["sub"]} FROM half1),
+      summed2 AS (SELECT qid, id, round(sum(w / (60 + rank)), 9) AS score, min({{'path': path, 'rank': rank}}) AS first FROM lists GROUP BY qid, id),
+      fused AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first.path, first.rank, id) AS rank FROM summed2),
+      named_queries AS (SELECT * FROM asked WHERE {_intent("query", "caller")}), {IDENTS},
+      hits AS (SELECT DISTINCT qid, id FROM (SELECT n.qid, n.name, c.caller_id AS id FROM (SELECT qid, unnest(names) AS name FROM idents) n JOIN calls c ON c.callee_name = n.name QUALIFY row_number() OVER (PARTITION BY n.qid, n.name ORDER BY c.caller_id) <= {V.CALLERS_LIMIT})),
+      taken AS (SELECT coalesce(f.qid, h.qid) AS qid, coalesce(f.id, h.id) AS id, CASE WHEN h.qid IS NOT NULL THEN {V.INTENT_SCORE}::DOUBLE ELSE f.score END AS score, coalesce(f.rank, 2147483647) AS rank FROM (SELECT * FROM fused WHERE rank <= 50) f FULL OUTER JOIN hits h ON f.qid = h.qid AND f.id = h.id),
+      {_scored("taken", "b.score")}, {_PAIRED}, {_capped("true", 10, "paired", "rank, id")},
+      {_related("SELECT t.qid, t.id, c.symbol FROM top t JOIN corpus c ON c.chunk_id = t.id")},
+      near AS (SELECT * FROM (SELECT n.qid, n.id, n.relation, row_number() OVER (PARTITION BY n.qid ORDER BY coalesce(f.score, 0) DESC, n.relation = 'caller' DESC, n.n) AS rank FROM numbered n LEFT JOIN fused f ON f.qid = n.qid AND f.id = n.id) WHERE rank <= {V.GRAPH_LIMIT})
+      SELECT qid, rank, id, file_path, symbol, score, relation FROM (SELECT t.qid, t.rank, t.id, c.file_path, c.symbol, round(t.score, 6) AS score, NULL AS relation FROM top t JOIN corpus c ON c.chunk_id = t.id
+        UNION ALL SELECT n.qid, n.rank + 10, n.id, c.file_path, c.symbol, 0.0, n.relation FROM near n JOIN corpus c ON c.chunk_id = n.id)""",
+    "sync_incremental": f"""WITH {USABLE}, {STATES}, pieces AS (SELECT DISTINCT file_path, coalesce(start_line, 1) AS s, string_split(code, chr(10)) AS l FROM chunks WHERE file_path IS NOT NULL AND code IS NOT NULL),
+      lines0 AS (SELECT file_path, s, s + i AS pos, l[i + 1] AS line FROM (SELECT file_path, s, l, unnest(range(len(l))) AS i FROM pieces)),
+      once AS (SELECT file_path, pos, arg_min(line, (s, line)) AS line FROM lines0 GROUP BY file_path, pos), whole AS (SELECT file_path, string_agg(line, chr(10) ORDER BY pos) AS code FROM once GROUP BY file_path),
+      lines AS (SELECT w.file_path, string_split(w.code || CASE WHEN s.state = 'dirty' THEN chr(10) || 'last line changed' ELSE '' END, chr(10)) AS l FROM whole w LEFT JOIN states s USING (file_path) WHERE coalesce(s.state, '') <> 'deleted'),
+      starts AS (SELECT file_path, l, unnest(range(0, greatest(0, ceil((len(l) - 60) / 50::DOUBLE)::INT * 50) + 1, 50)) AS i FROM lines), cut AS (SELECT file_path, i, len(l) AS n, array_to_string(l[i + 1 : i + 60], chr(10)) AS code FROM starts),
+      made AS (SELECT file_path, 'lines_' || (i + 1) AS symbol, i + 1 AS start_line, least(i + 60, n) AS end_line, code FROM cut WHERE regexp_matches(code, '\\S') QUALIFY row_number() OVER (PARTITION BY file_path, code ORDER BY i) = 1)
+      SELECT file_path, symbol, start_line, end_line, md5(code) AS code_md5 FROM made""",
     "eval_metrics": f"""WITH {CORPUS}, golden AS (SELECT DISTINCT item_id AS qid, cat, expected, query FROM golden_items WHERE query IS NOT NULL), {_bm25("(SELECT DISTINCT qid, query FROM golden)", 10)},
       found AS (SELECT b.qid, b.rank, c.file_path FROM bm25 b JOIN corpus c ON b.id = c.chunk_id), wanted AS (SELECT qid, cat, unnest(CASE WHEN len(expected) = 0 OR expected IS NULL THEN [NULL] ELSE expected END) AS path FROM golden),
       hits AS (SELECT w.qid, w.cat, min(CASE WHEN contains(f.file_path, w.path) THEN f.rank END) AS r FROM wanted w LEFT JOIN found f USING (qid) GROUP BY w.qid, w.cat)
       SELECT cat, count(*) AS items, round(avg(coalesce(r = 1, false)::INT), 6) AS top1, round(avg(coalesce(r <= 5, false)::INT), 6) AS recall5, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM hits GROUP BY cat""",
     "rescue": f"""WITH {_symbol_scored()}, {_capped("r0 <= 10")}, probes AS (SELECT DISTINCT qid, file_path FROM ss WHERE r0 > 10), held AS (SELECT DISTINCT p.qid FROM probes p JOIN top t USING (qid, file_path)),
-      pool AS (SELECT s.* FROM ss s JOIN probes p USING (qid, file_path) WHERE s.qid NOT IN (SELECT qid FROM held) AND 0.5 - s.r0 / 100.0 >= 0.2 AND (s.qid, s.id) NOT IN (SELECT (qid, id) FROM top)),
+      pool AS (SELECT s.* FROM ss s WHERE s.r0 > 10 AND s.qid NOT IN (SELECT qid FROM held) AND 0.5 - s.r0 / 100.0 >= 0.2 AND (s.qid, s.id) NOT IN (SELECT (qid, id) FROM top)),
       best AS (SELECT qid, id, score FROM pool QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r0, id) = 1),
       low AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid ORDER BY score, id DESC) AS k FROM top),
       kept AS (SELECT l.qid, l.id, l.score, false AS rescued FROM low l LEFT JOIN best b ON b.qid = l.qid WHERE NOT (b.qid IS NOT NULL AND l.n >= 10 AND l.k = 1) UNION ALL SELECT qid, id, score, true FROM best)
@@ -285,7 +343,7 @@ SQL: dict[str, str] = {
       lists AS (SELECT qid, id, rank, 0 AS path FROM knn UNION ALL SELECT qid, id, rank, 1 FROM bm25),
       summed2 AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min({{'path': path, 'rank': rank}}) AS first FROM lists GROUP BY qid, id),
       fused AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first.path, first.rank, id) AS rank FROM summed2), taken AS (SELECT * FROM fused WHERE rank <= 50),
-      {_scored("taken", "b.score")}, {_capped("true", 10, "scored")},
+      {_scored("taken", "b.score")}, {_PAIRED}, {_capped("true", 10, "paired", "rank, id")},
       {_related("SELECT t.qid, t.id, c.symbol FROM top t JOIN corpus c ON c.chunk_id = t.id")},
       near AS (SELECT * FROM (SELECT n.qid, n.id, n.relation, row_number() OVER (PARTITION BY n.qid ORDER BY coalesce(f.score, 0) DESC, n.relation = 'caller' DESC, n.n) AS rank FROM numbered n LEFT JOIN fused f ON f.qid = n.qid AND f.id = n.id) WHERE rank <= {V.GRAPH_LIMIT})
       SELECT qid, rank, id, file_path, symbol, score, relation FROM (SELECT t.qid, t.rank, t.id, c.file_path, c.symbol, round(t.score, 6) AS score, NULL AS relation FROM top t JOIN corpus c ON c.chunk_id = t.id

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkseek.functions import columns as C
 from sparkseek.functions import vocabulary as V
-from sparkseek.operators import graph, retrieval, scoring
+from sparkseek.operators import embedding, graph, render, retrieval, scoring
+from sparkseek.operators.store import Snapshots
 from sparkseek.session import cut
 
 
@@ -23,13 +27,15 @@ class Options:
     path_filter: str | None = None
     expand_graph: bool = True
     graph_limit: int = V.GRAPH_LIMIT
+    #: Least score of a probe against its own half of a compound query.
+    sub_least: float = V.SUB_LEAST["default"]
 
 
-def intent_hits(queries: DataFrame, edges: DataFrame) -> DataFrame:
+def intent_hits(queries: DataFrame, edges: DataFrame, stored: bool = False) -> DataFrame:
     """``(qid, id)``: callers of the identifiers that a who-calls query names."""
     asked = queries.filter(C.has_intent(F.col("query"), "caller"))
     names = asked.select("qid", F.explode(C.intent_symbols(F.col("query"))).alias("callee_name"))
-    return graph.callers_of(edges, names).select("qid", "id").distinct()
+    return graph.callers_of(edges, names, stored=stored).select("qid", "id").distinct()
 
 
 def parsed_expansion(reply: Column) -> Column:
@@ -39,48 +45,152 @@ def parsed_expansion(reply: Column) -> Column:
     return F.when(body.isNotNull() & (body["variants"].isNotNull() | body["hypothetical_code"].isNotNull()), F.struct(F.slice(F.coalesce(body["variants"], F.array().cast("array<string>")), 1, 2).alias("variants"), C.text(body["hypothetical_code"]).alias("hypothetical_code")))
 
 
-def recall(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, variants: DataFrame | None = None) -> DataFrame:
-    """Fused candidates of ``queries`` (qid, query, qvec): nearest vectors, words, substrings where the query has Han signs, and
-    each half of a compound query with less weight. With ``variants`` (qid, variant, query, qvec; rewritten queries or hypothetical
-    code) the query's own lists weigh twice a variant's."""
-    base = V.WEIGHTS["base_expanded"] if variants is not None else V.WEIGHTS["base"]
+@dataclass(frozen=True)
+class Corpus:
+    """What a search reads: tables of an index, or DataFrames made on the way. Without ``vectors`` nothing is searched by vector, without
+    ``postings`` and ``lengths`` the words of the chunks are counted anew. ``stored`` says that each edge occurs once."""
 
-    def lists(asked: DataFrame, weight: float, vector: bool = True) -> list[tuple[DataFrame, float]]:
-        out = [(retrieval.knn(vectors, asked, k).select("qid", "id", "rank"), weight)] if vector else []
-        out.append((retrieval.bm25(chunks, asked, k).select("qid", "id", "rank"), weight))
-        han = asked.filter(F.col("query").rlike(V.CJK)).select("qid", "query")
-        if not han.isEmpty():
-            out.append((retrieval.substring_bm25(chunks, han, k, "chunk_id", "code").select("qid", "id", "rank"), weight))
-        return out
+    chunks: DataFrame
+    edges: DataFrame
+    vectors: DataFrame | None = None
+    postings: DataFrame | None = None
+    lengths: DataFrame | None = None
+    stored: bool = False
 
-    paths = lists(queries, base)
-    if variants is not None:
-        for (number,) in sorted(variants.select("variant").distinct().limit(3).collect()):
-            paths += lists(variants.filter(F.col("variant") == number), V.WEIGHTS["variant"])
-    halves = queries.select("qid", F.posexplode(C.compound_parts(F.col("query"))).alias("half", "query"))
-    if not halves.isEmpty():
-        for half in (0, 1):
-            paths += lists(halves.filter(F.col("half") == half).select("qid", "query"), V.WEIGHTS["sub"], vector=False)
-    return retrieval.fuse(paths)
+    @staticmethod
+    def of(store: Snapshots) -> Corpus:
+        """The tables of the committed version."""
+        version = store.version()
+        return Corpus(*[store.read(t, version) for t in ("chunks", "edges", "vectors", "postings", "lengths")], stored=True)
+
+    def words(self, queries: DataFrame, k: int) -> DataFrame:
+        return retrieval.bm25(self.chunks, queries, k, stored=None if self.postings is None else (self.postings, self.lengths))
+
+
+class Expander(Protocol):
+    """Rewrites a query: the reply is text that holds a JSON object (see ``parsed_expansion``), or None."""
+
+    def expand(self, query: str) -> str | None: ...
+
+
+def expansions(queries: DataFrame, expander: Expander, embedder: embedding.Embedder) -> DataFrame:
+    """``(qid, variant, query, qvec)`` of the rewritten queries: variants 0 and 1 embedded as queries, the hypothetical code (2, without
+    a query text) embedded as a document. A query whose expansion fails has none."""
 
+    @F.pandas_udf("string")
+    def ask(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> str | None:
+            try:
+                return expander.expand(text)
+            except Exception:  # an expansion is never needed
+                return None
 
-def search(chunks: DataFrame, vectors: DataFrame, edges: DataFrame, queries: DataFrame, options: Options = Options(), variants: DataFrame | None = None) -> DataFrame:
-    """``(qid, rank, id, file_path, language, symbol, start_line, end_line, code, score, entity, relation)`` for every query.
+        return texts.map(one)
 
-    ``chunks`` is the stored corpus (see ``operators.corpus.clean``). Code joins only the candidates that are left after fusion.
-    """
-    fused = cut(recall(chunks, vectors, queries, options.top_k, variants))  # read three times below
-    hits = intent_hits(queries, edges)
-    candidates = scoring.inject(fused.filter(F.col("rank") <= options.top_k), hits).withColumn("rank", F.lit(0))
-    full = candidates.join(chunks, candidates["id"] == chunks["chunk_id"]).join(queries.select("qid", "query"), "qid")
-    scored = scoring.pair_implementations(scoring.score(full))
+    replies = cut(queries.select("qid", parsed_expansion(ask(F.col("query"))).alias("e")).filter("e is not null"))
+    variants = replies.select("qid", F.posexplode("e.variants").alias("variant", "query")).filter("query != ''")
+    code = replies.filter("e.hypothetical_code != ''").select("qid", F.col("e.hypothetical_code").alias("code"))
+    asked = embedding.embedded(variants, F.col("query"), embedder, "query", "qvec")
+    made = embedding.embedded(code, F.col("code"), embedder, "document", "qvec").select("qid", F.lit(2).alias("variant"), F.lit(None).cast("string").alias("query"), "qvec")
+    return asked.unionByName(made)
+
+
+def halves_of(queries: DataFrame, embedder: embedding.Embedder | None = None) -> DataFrame:
+    """``(qid, sub, query[, qvec])``: the two halves of each compound query."""
+    halves = queries.select("qid", F.posexplode(C.compound_parts(F.col("query"))).alias("sub", "query"))
+    return halves if embedder is None else embedding.embedded(halves, F.col("query"), embedder, "query", "qvec")
+
+
+def recall(corpus: Corpus, queries: DataFrame, k: int, variants: DataFrame | None = None, halves: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(fused candidates, probes) of ``queries`` (qid, query[, qvec]): nearest vectors, words, and substrings where the query has Han
+    signs. With ``variants`` (see ``expansions``) the own lists weigh twice; a variant has a vector and a word list, hypothetical code a
+    vector list only. Each half of a compound query (see ``halves_of``) adds a vector list and one list of substrings or words, with
+    less weight; the first ten of the half's own lists are its probes (qid, sub, id)."""
+    base = V.WEIGHTS["base_expanded"] if variants is not None else V.WEIGHTS["base"]
+    near = lambda asked: retrieval.knn(corpus.vectors, asked, k).select("qid", "id", "rank")
+    words = lambda asked: corpus.words(asked.select("qid", "query"), k).select("qid", "id", "rank")
+    parts = lambda asked: retrieval.substring_bm25(corpus.chunks, asked.select("qid", "query"), k).select("qid", "id", "rank")
+    by_vector = lambda asked: corpus.vectors is not None and "qvec" in asked.columns
+    han = F.col("query").rlike(V.CJK)
+    paths = [(near(queries), base)] if by_vector(queries) else []
+    paths.append((words(queries), base))
+    if variants is not None:
+        for number in (0, 1):
+            own = variants.filter(F.col("variant") == number)
+            paths += [(near(own), V.WEIGHTS["variant"]), (words(own), V.WEIGHTS["variant"])]
+        paths.append((near(variants.filter("variant = 2")), V.WEIGHTS["variant"]))
+    asked_han = queries.filter(han)
+    if not asked_han.isEmpty():
+        paths.append((parts(asked_han), base))
+    probes = None
+    halves = halves_of(queries) if halves is None else halves
+    if not halves.isEmpty():
+        halves = cut(halves)
+        for sub in (0, 1):
+            own = halves.filter(F.col("sub") == sub)
+            lists = [(near(own), V.WEIGHTS["sub"])] if by_vector(own) else []
+            text = words(own.filter(~han))
+            own_han = own.filter(han)
+            lists.append((text if own_han.isEmpty() else text.unionByName(parts(own_han)), V.WEIGHTS["sub"]))
+            lists = [(cut(rows), weight) for rows, weight in lists]  # fused twice
+            paths += lists
+            own_probes = retrieval.fuse([(rows, 1.0) for rows, _ in lists], V.PROBES).select("qid", F.lit(sub).alias("sub"), "id")
+            probes = own_probes if probes is None else probes.unionByName(own_probes)
+    return retrieval.fuse(paths), probes
+
+
+def reranked(candidates: DataFrame, rerank: embedding.Rerank, top_n: int, probes: DataFrame | None, halves: DataFrame, least: float) -> DataFrame:
+    """Candidates (qid, id, query, file_path, symbol, code, score, ord) with the scores of a reranker. A query keeps its first
+    max(3 top_n, 20) by these; its probes stay with 0 even where they fall out; then the probes' scores against their own half are
+    mixed in. Where the reranker fails (null) the fused scores stay."""
+    text = C.rerank_text(F.col("file_path"), F.col("symbol"), F.col("code"))
+    scored = rerank(candidates.withColumn("text", text), "query", "text", "new").drop("text")
+    failed = F.max(F.col("new").isNull()).over(Window.partitionBy("qid"))
+    scored = scored.withColumn("failed", failed).withColumn("new", F.when(F.col("failed"), F.col("score")).otherwise(F.col("new")))
+    scored = scored.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("new"), "ord")))
+    kept = F.col("failed") | (F.col("place") <= max(3 * top_n, 20))
+    if probes is None:
+        return scored.filter(kept).withColumn("score", F.col("new")).drop("new", "failed", "place").withColumn("sub_score", F.lit(None).cast("double"))
+    own = probes.select("qid", "id").distinct().withColumn("probe", F.lit(True))
+    scored = scored.join(own, ["qid", "id"], "left").filter(kept | F.col("probe"))
+    scored = cut(scored.withColumn("score", F.when(kept, F.col("new")).otherwise(0.0)).drop("new", "failed", "place", "probe"))
+    pairs = probes.join(scored.drop("query"), ["qid", "id"]).join(halves.select("qid", "sub", "query"), ["qid", "sub"])
+    subs = rerank(pairs.withColumn("text", text), "query", "text", "s").select("qid", "sub", "id", "s").filter("s is not null")
+    return scoring.mix_subquery_scores(scored, subs, least)
+
+
+def search(corpus: Corpus, queries: DataFrame, options: Options = Options(), variants: DataFrame | None = None, halves: DataFrame | None = None, rerank: embedding.Rerank | None = None) -> DataFrame:
+    """``(qid, rank, id, file_path, language, symbol, start_line, end_line, code, score, entity, relation)`` for every query (qid,
+    query[, qvec]). Code joins only the candidates that are left after fusion."""
+    chunks = corpus.chunks
+    halves = cut(halves_of(queries) if halves is None else halves)
+    fused, probes = recall(corpus, queries, options.top_k, variants, halves)
+    fused = cut(fused)  # read three times below
+    candidates = fused.filter(F.col("rank") <= options.top_k).select("qid", "id", "score", F.col("rank").alias("ord"))
+    hydrated = lambda rows: rows.join(chunks, rows["id"] == chunks["chunk_id"]).join(queries.select("qid", "query"), "qid")
+    if rerank is not None:
+        probes = probes if probes is None else cut(probes)
+        candidates = cut(reranked(hydrated(candidates), rerank, options.top_n, probes, halves, options.sub_least).select("qid", "id", "score", "ord", "sub_score"))
+    candidates = scoring.inject(candidates, intent_hits(queries, corpus.edges, corpus.stored))
+    scored = scoring.pair_implementations(scoring.score(hydrated(candidates).withColumn("rank", F.col("ord"))))
     results = scoring.diversify(scored, options.top_n, options.max_per_file, options.path_filter)
+    if rerank is not None and probes is not None:
+        allowed = scored.filter(C.path_matches(F.col("file_path"), options.path_filter)) if options.path_filter else scored
+        allowed = cut(allowed.select("qid", "id", "file_path", "score", "sub_score"))
+        found = probes.join(chunks.select(F.col("chunk_id").alias("id"), "file_path"), "id")
+        kept = scoring.rescue(cut(results.select("qid", "id", "file_path", "score")), allowed, cut(found), options.top_n, options.sub_least)
+        results = scored.drop("rank").join(kept.select("qid", "id", "rank"), ["qid", "id"])
     columns = ["qid", "rank", "id", "file_path", "language", "symbol", "start_line", "end_line", "code", "score"]
     entity = C.is_entity(F.col("code"), F.col("language"))
     main = results.select(*columns, entity.alias("entity"), F.lit(None).cast("string").alias("relation"))
     if not options.expand_graph:
         return main
     main = cut(main)  # a few rows a query
-    found = graph.related(chunks, edges, main.select("qid", "id"), fused, options.graph_limit)
+    found = graph.related(chunks, corpus.edges, main.select("qid", "id"), fused, options.graph_limit, corpus.stored)
     near = found.join(chunks, found["id"] == chunks["chunk_id"]).withColumn("score", F.lit(0.0)).withColumn("rank", F.col("rank") + options.top_n)
     return main.unionByName(near.select(*columns, F.lit(True).alias("entity"), "relation"))
+
+
+def answers(found: DataFrame) -> DataFrame:
+    """``(qid, text)``: the results of ``search`` as one text a query, files first, related chunks behind them."""
+    return render.markdown(found)

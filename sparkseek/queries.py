@@ -6,6 +6,7 @@ all rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from sparkseek.functions import columns as C
 from sparkseek.functions import vocabulary as V
 from sparkseek.operators import chunking, corpus, embedding, evaluation, graph, render, retrieval, scoring
+from sparkseek.operators.store import Snapshots
+from sparkseek.plans import index
 from sparkseek.plans import search as plans
-from sparkseek.session import cut, table
+from sparkseek.session import cut, ensure_checkpoint_dir, table
 from sparkseek.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +38,13 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("chunk_id").agg(F.min("embedding").alias("embedding"))
 
 
+def _stored(s: SparkSession, d: str) -> plans.Corpus:
+    """The index of a data directory, built by the session's first search and read by all."""
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/chunks.parquet")
+    at = path.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(path)
+    return plans.Corpus.of(index.of_tables(s, f"{d} {at.getModificationTime()} {at.getLen()}", _chunks(s, d), _vectors(s, d), table(s, d, "edges")))
+
+
 def _vector_queries(s: SparkSession, d: str) -> DataFrame:
     return _vectors(s, d).filter(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("qvec"))
 
@@ -183,7 +193,7 @@ def query_intents(s: SparkSession, d: str) -> DataFrame:
 
 
 def vector_serialise(s: SparkSession, d: str) -> DataFrame:
-    return _vectors(s, d).select("chunk_id", F.aggregate(C.quantised(F.col("embedding")), F.lit(0), lambda a, x: a + x).alias("total"), F.aggregate(C.quantised(F.col("embedding")), F.lit(0), lambda a, x: a + x * x).alias("squares"))
+    return _vectors(s, d).select("chunk_id", F.aggregate(C.quantised(F.col("embedding")), F.lit(0), lambda a, x: a + x.cast("int")).alias("total"), F.aggregate(C.quantised(F.col("embedding")), F.lit(0), lambda a, x: a + x.cast("int") * x.cast("int")).alias("squares"))
 
 
 def knn_l2(s: SparkSession, d: str) -> DataFrame:
@@ -201,22 +211,22 @@ def topk_agreement(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(_chunks(s, d), _text_queries(s, d), K)
+    return _stored(s, d).words(_text_queries(s, d), K)
 
 
 def bm25_symbols(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(_chunks(s, d), _symbol_queries(s, d), K)
+    return _stored(s, d).words(_symbol_queries(s, d), K)
 
 
 def trigram_match(s: SparkSession, d: str) -> DataFrame:
     asked = table(s, d, "golden_items").filter("lang = 'zh' and query is not null").select(F.col("item_id").alias("qid"), "query").distinct()
     docs = table(s, d, "documents").filter("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return retrieval.substring_bm25(docs, asked, K)
+    return retrieval.substring_bm25(docs, asked, K, "doc_id", ("text",))
 
 
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
     near = retrieval.knn(_vectors(s, d), _example_queries(s, d), K)
-    words = retrieval.bm25(_chunks(s, d), _example_queries(s, d), K)
+    words = _stored(s, d).words(_example_queries(s, d), K)
     return retrieval.fuse([(near, V.WEIGHTS["base"]), (words, V.WEIGHTS["sub"])], K).select("qid", "id", F.round("score", 6).alias("score"), "path", "path_rank")
 
 
@@ -303,7 +313,7 @@ def rescue(s: SparkSession, d: str) -> DataFrame:
     """The files of each query's ranks 11 to 20 as the probe of a sub-query that its first ten results do not hold."""
     c = _symbol_scored(s, d).withColumn("sub_score", F.lit(0.5) - F.col("rank") / 100)
     top = scoring.diversify(c.filter("rank <= 10"), 10)
-    probes = c.filter("rank > 10").select("qid", F.lit(0).alias("sub"), "file_path")
+    probes = c.filter("rank > 10").select("qid", F.lit(0).alias("sub"), "id", "file_path")
     return scoring.rescue(top, c, probes, 10, 0.2, 1).select("qid", "id", "rescued", "rank")
 
 
@@ -342,25 +352,57 @@ def count_flush(s: SparkSession, d: str) -> DataFrame:
 
 def eval_metrics(s: SparkSession, d: str) -> DataFrame:
     golden = table(s, d, "golden_items").filter("query is not null").select(F.col("item_id").alias("qid"), "cat", "expected", "query").distinct()
-    found = retrieval.bm25(_chunks(s, d), golden.select("qid", "query").distinct(), 10).join(_chunks(s, d).select("chunk_id", "file_path"), F.col("id") == F.col("chunk_id"))
+    found = _stored(s, d).words(golden.select("qid", "query").distinct(), 10).join(_chunks(s, d).select("chunk_id", "file_path"), F.col("id") == F.col("chunk_id"))
     return evaluation.metrics(evaluation.first_hits(found, golden), ["cat"])
 
 
-def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    """The store is written once (as a snapshot would be) and read by every path of the plan."""
-    chunks, vectors = cut(_chunks(s, d)), cut(_vectors(s, d))
-    named = chunks.filter("symbol != '' and chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), F.col("symbol").alias("query"))
-    asked = cut(named.join(vectors.select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("qvec")), "qid"))
-    found = plans.search(chunks, vectors, table(s, d, "edges"), asked, plans.Options(top_k=50))
+def _shown_results(found: DataFrame) -> DataFrame:
     return found.select("qid", "rank", "id", "file_path", "symbol", F.round("score", 6).alias("score"), "relation")
 
 
+def hybrid_search(s: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth chunk's symbol and vector as a query of the index."""
+    held = _stored(s, d)
+    named = held.chunks.filter("symbol != '' and chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), F.col("symbol").alias("query"))
+    asked = cut(named.join(held.vectors.select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("qvec")), "qid"))
+    return _shown_results(plans.search(held, asked, plans.Options(top_k=50)))
+
+
+def _golden_queries(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "golden_items").filter("query is not null").select(F.col("item_id").alias("qid"), "query").distinct()
+
+
+def hybrid_search_golden(s: SparkSession, d: str) -> DataFrame:
+    """Every query of the golden items: words, substrings where it has Han signs, the halves of compound ones, callers, the rules."""
+    return _shown_results(plans.search(_stored(s, d), cut(_golden_queries(s, d)), plans.Options(top_k=50)))
+
+
+def reranked_search(s: SparkSession, d: str) -> DataFrame:
+    """The golden queries with the offline reranker, mixed sub-query scores and rescue, as one text each."""
+    return plans.answers(plans.search(_stored(s, d), cut(_golden_queries(s, d)), plans.Options(top_k=50), rerank=embedding.overlap_rerank))
+
+
+def sync_incremental(s: SparkSession, d: str) -> DataFrame:
+    """An index of all files, then brought in step with the change log: deleted paths go, dirty ones get a further line."""
+    texts = corpus.whole_files(table(s, d, "chunks"))
+    fingerprints = corpus.latest_fingerprints(table(s, d, "files")).select("file_path", "mtime", "size")
+    listed = lambda rows: rows.join(fingerprints, "file_path", "left").withColumn("file_hash", F.md5("code"))
+    states = changes.last_state(table(s, d, "change_log"))
+    dirty, deleted = (states.filter(F.col("state") == x).select("file_path") for x in ("dirty", "deleted"))
+    changed = dirty.withColumn("more", F.lit("\nlast line changed"))
+    after = texts.join(deleted, "file_path", "left_anti").join(changed, "file_path", "left").withColumn("code", F.concat("code", F.coalesce("more", F.lit("")))).drop("more")
+    built = index.Index(Snapshots(s, f"{ensure_checkpoint_dir(s)}/sync-{uuid.uuid4().hex}"), None, index.windows)
+    built.sync(listed(texts))
+    built.sync_dirty(listed(after), dirty, deleted)
+    return built.store.read("chunks").select("file_path", "symbol", "start_line", "end_line", F.md5("code").alias("code_md5"))
+
+
 QUERIES: list[Query] = [
     chunk_lines, chunk_lines_short, language_map, blob_dedup, insert_ignore, cascade_delete, replace_files, fingerprint_latest, fingerprint_diff, fingerprint_upsert,
     file_admission, stats, meaningful, edge_extract, whole_files, ast_chunks, batch_packing, embed_texts, embed_hash, ident_split, fts_tokens, declared_names, file_classes,
     query_intents, vector_serialise, knn_l2, knn_int8, topk_agreement, bm25_topk, bm25_symbols, trigram_match, rrf_fusion, intent_score, per_group_cap,
     path_filter_glob, path_filter_part, impl_pairing, hot_symbols, symbol_fanout, callers_of, graph_expand, intent_inject, content_dedup, rerank_mix, rescue,
-    numbered_lines, render_overlap, render_markdown, last_op_wins, debounce_bursts, count_flush, eval_metrics, hybrid_search,
+    numbered_lines, render_overlap, render_markdown, last_op_wins, debounce_bursts, count_flush, eval_metrics, hybrid_search, hybrid_search_golden, reranked_search, sync_incremental,
 ]
 
 
