@@ -21,12 +21,12 @@ def corpus(spark):
     chunks = spark.createDataFrame(rows, "chunk_id long, blob_hash string, file_path string, language string, symbol string, start_line int, end_line int, code string")
     vectors = embedding.embedded(chunks, F.col("code"), embedding.HashingEmbedder()).select("chunk_id", "embedding")
     edges = spark.createDataFrame([(1, "decode_body"), (3, "parse_request")], "caller_id long, callee_name string")
-    return chunks, vectors, edges
+    return P.Corpus(chunks, edges, vectors)
 
 
 def ask(spark, corpus, query, **options):
     asked = embedding.embedded(spark.createDataFrame([(1, query)], "qid long, query string"), F.col("query"), embedding.HashingEmbedder(), "query", "qvec")
-    return P.search(*corpus, asked, P.Options(**options)).orderBy("rank").collect()
+    return P.search(corpus, asked, P.Options(**options)).orderBy("rank").collect()
 
 
 def test_implementation_first_then_related(spark, corpus):
@@ -51,7 +51,7 @@ def test_compound_and_substring_paths(spark, corpus):
 def test_variants_weigh_less(spark, corpus):
     asked = embedding.embedded(spark.createDataFrame([(1, "evict")], "qid long, query string"), F.col("query"), embedding.HashingEmbedder(), "query", "qvec")
     variants = embedding.embedded(spark.createDataFrame([(1, 0, "decode_body")], "qid long, variant int, query string"), F.col("query"), embedding.HashingEmbedder(), "query", "qvec")
-    got = [r.id for r in P.recall(corpus[0], corpus[1], asked, 10, variants).orderBy("rank").collect()]
+    got = [r.id for r in P.recall(corpus, asked, 10, variants)[0].orderBy("rank").collect()]
     assert got[0] == 5 and 2 in got
 
 
@@ -60,3 +60,56 @@ def test_expander_replies(spark):
     df = spark.createDataFrame([(1, reply), (2, "no json"), (3, ""), (4, None), (5, "{broken")], "i int, r string")
     got = {r.i: r.e for r in df.select("i", P.parsed_expansion(F.col("r")).alias("e")).collect()}
     assert list(got[1].variants) == ["a", "b"] and got[1].hypothetical_code == "x = 1" and [got[i] for i in (2, 3, 4, 5)] == [None] * 4
+
+
+def holding(wanted, broken=False):
+    """A reranker that knows which words a text should hold."""
+
+    class Words:
+        def scores(self, pairs):
+            if broken:
+                raise RuntimeError("no service")
+            return [float(wanted in text) * 0.9 + 0.05 for _, text in pairs]
+
+    return Words()
+
+
+def reranked(spark, corpus, query, reranker, **options):
+    asked = spark.createDataFrame([(1, query)], "qid long, query string")
+    return P.search(corpus, asked, P.Options(expand_graph=False, **options), rerank=embedding.batched_rerank(reranker)).orderBy("rank").collect()
+
+
+def test_reranker_decides_and_may_fail(spark, corpus):
+    plain = [r.id for r in P.search(corpus, spark.createDataFrame([(1, "parse request body")], "qid long, query string"), P.Options(expand_graph=False)).orderBy("rank").collect()]
+    assert reranked(spark, corpus, "parse request body", holding("data.decode"))[0].id == 2
+    assert [r.id for r in reranked(spark, corpus, "parse request body", holding("", broken=True))] == plain
+
+
+def test_a_half_without_results_is_rescued(spark, corpus):
+    # the whole query's scores favour one half; the other half's best probe takes the last place
+    got = reranked(spark, corpus, "parse_request+evict", holding("parse_request"), top_n=2)
+    assert len(got) == 2 and "src/cache.py" not in {r.file_path for r in got}  # evict scores under the bound
+    asked = spark.createDataFrame([(1, "parse_request+evict cache")], "qid long, query string")
+    got = P.search(corpus, asked, P.Options(expand_graph=False, top_n=2), rerank=embedding.overlap_rerank).collect()
+    assert "src/cache.py" in {r.file_path for r in got}
+
+
+def test_expansions_of_a_failing_and_a_working_expander(spark, corpus):
+    class Expander:
+        def expand(self, query):
+            if query == "broken":
+                raise RuntimeError("no service")
+            return '{"variants": ["decode_body", ""], "hypothetical_code": "def evict(cache): pass"}'
+
+    asked = spark.createDataFrame([(1, "anything"), (2, "broken")], "qid long, query string")
+    got = P.expansions(asked, Expander(), embedding.HashingEmbedder())
+    rows = {(r.qid, r.variant): r.query for r in got.collect()}
+    assert rows == {(1, 0): "decode_body", (1, 2): None}
+    found = P.search(corpus, asked, P.Options(expand_graph=False), variants=got).collect()
+    assert {r.id for r in found if r.qid == 1} >= {2, 5}
+
+
+def test_answers_are_text(spark, corpus):
+    asked = spark.createDataFrame([(1, "parse_request")], "qid long, query string")
+    text = P.answers(P.search(corpus, asked)).first().text
+    assert text.startswith("## 1. src/parser.py") and "body.py" in text
