@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 INDEX_FORMAT = "1"
 
@@ -72,14 +73,14 @@ class Snapshots:
     def commit(self, tables: dict[str, DataFrame], profile: dict[str, str] | None = None, sorted_by: dict[str, str] | None = None) -> int:
         """A new version of all tables: they are written to a folder of their own, then one commit file is created under the next
         number. Readers see the old version or the new one, never a part; a writer that was overtaken fails and changes nothing.
-        ``sorted_by``: a table's column that its files are ranged by, so that a filter on it reads few row groups."""
+        ``sorted_by``: a table's column that its rows are spread and sorted by, so that a filter on it reads few row groups."""
         version = self.version() + 1
         carried = self.check_profile(profile or {})
         folder = f"data/{version}-{uuid.uuid4().hex}"
         try:
             for name, rows in tables.items():
                 column = (sorted_by or {}).get(name)
-                (rows.repartitionByRange(column).sortWithinPartitions(column) if column else rows).write.parquet(f"{self.root}/{folder}/{name}")
+                (rows.repartition(F.col(column)).sortWithinPartitions(column) if column else rows).write.parquet(f"{self.root}/{folder}/{name}")
             self._write_text(f"commits/{version}", json.dumps({"folder": folder, "tables": sorted(tables), "profile": carried}))
         except Exception:
             self._fs.delete(self._path(f"{self.root}/{folder}"), True)

@@ -23,7 +23,7 @@ from sparkseek.operators import chunking, corpus, embedding, graph, retrieval
 from sparkseek.operators.store import Snapshots
 from sparkseek.session import cut, ensure_checkpoint_dir
 
-#: The tables of an index and the column their files are ranged by.
+#: The tables of an index and the column their rows are spread and sorted by.
 SORTED_BY = {"chunks": "chunk_id", "vectors": "chunk_id", "edges": "callee_name", "postings": "term", "lengths": "id", "files": "file_path"}
 
 

@@ -171,7 +171,8 @@ def search(corpus: Corpus, queries: DataFrame, options: Options = Options(), var
     if rerank is not None:
         probes = probes if probes is None else cut(probes)
         candidates = cut(reranked(hydrated(candidates), rerank, options.top_n, probes, halves, options.sub_least).select("qid", "id", "score", "ord", "sub_score"))
-    candidates = scoring.inject(candidates, intent_hits(queries, corpus.edges, corpus.stored))
+    if not queries.filter(C.has_intent(F.col("query"), "caller")).isEmpty():
+        candidates = scoring.inject(candidates, intent_hits(queries, corpus.edges, corpus.stored))
     scored = scoring.pair_implementations(scoring.score(hydrated(candidates).withColumn("rank", F.col("ord"))))
     results = scoring.diversify(scored, options.top_n, options.max_per_file, options.path_filter)
     if rerank is not None and probes is not None:
