@@ -99,7 +99,7 @@ def cascade_delete(s: SparkSession, d: str) -> DataFrame:
 
 
 def replace_files(s: SparkSession, d: str) -> DataFrame:
-    """Files with a dirty last state are replaced by their chunks' line windows of half a window."""
+    """Files with a dirty last state are replaced by their chunks that begin at line 1."""
     rows = _chunks(s, d)
     dirty = changes.last_state(table(s, d, "change_log")).filter("state = 'dirty'").select("file_path")
     new = rows.join(dirty, "file_path", "left_semi").filter(F.col("start_line") == 1).select(*rows.columns)
@@ -345,7 +345,7 @@ def debounce_bursts(s: SparkSession, d: str) -> DataFrame:
 
 
 def count_flush(s: SparkSession, d: str) -> DataFrame:
-    """Flushes by count per repository, by the stateful operator over the whole log."""
+    """Flushes by count per repository over the whole log, by aggregation: the rule of ``changes.count_flushes``, which runs over streams."""
     n = changes.usable(table(s, d, "change_log")).groupBy(F.split("file_path", "/")[0].alias("repo")).agg(F.count("*").alias("n"))
     return n.select("repo", F.floor(F.col("n") / V.FLUSH_COUNT).alias("flushes"), (F.col("n") % V.FLUSH_COUNT).alias("pending"))
 
