@@ -123,8 +123,9 @@ def test_at_most_two_of_a_file(spark):
 def test_rescue_replaces_the_lowest(spark):
     schema = "qid long, id long, file_path string, score double, sub_score double"
     results = spark.createDataFrame([(1, 1, "a", 3.0), (1, 2, "b", 2.0)], "qid long, id long, file_path string, score double")
-    pool = spark.createDataFrame([(1, 1, "a", 3.0, 0.9), (1, 5, "c", 1.0, 0.5), (1, 6, "c", 1.0, 0.1)], schema)
-    probes = spark.createDataFrame([(1, 0, "c"), (1, 1, "a")], "qid long, sub int, file_path string")
+    pool = spark.createDataFrame([(1, 1, "a", 3.0, 0.9), (1, 5, "c", 1.0, 0.5), (1, 6, "c", 1.0, 0.1), (1, 7, "c", 1.0, 0.9)], schema)
+    # 7 stands in a probe's file but is no probe itself
+    probes = spark.createDataFrame([(1, 0, 5, "c"), (1, 0, 6, "c"), (1, 1, 1, "a")], "qid long, sub int, id long, file_path string")
     got = {(r.id, r.rescued) for r in scoring.rescue(results, pool, probes, 2, 0.2).collect()}
     assert got == {(1, False), (5, True)}
 
