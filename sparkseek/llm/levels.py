@@ -7,9 +7,10 @@ these a position between 1 and 4; the document's distribution of positions gives
 the rated documents maps it monotonically to graded difficulty. Everything in a document is scored, never a prefix.
 
 How the work is laid out
-    Ratings are joined to documents by id (a small shuffle of ratings; texts of rated documents only). Training takes at most
-    TRAIN_DOCS rated documents, those of the smallest hashes, which bounds the model; n-grams are counted by Spark, and the tasks get
-    all of them, whatever their language and count. All documents are scored in the scan stage, without a shuffle.
+    Ratings are joined to documents by id (a small shuffle of ratings; texts of rated documents only). All rated documents are used;
+    their sentences are taken once and equal ones of a level are counted together, so a round of training reads different sentences
+    only. N-grams are counted by Spark, and the tasks get all of them, whatever their language and count. All documents are scored in
+    the scan stage, without a shuffle.
 
 Defined cases
     null, empty, blank and code-only texts have no row; null levels are left out; repeated ratings count once; raters who disagree
@@ -35,8 +36,6 @@ from pyspark.sql.window import Window
 
 from sparkseek.session import cut
 
-#: Rated documents that are trained on at most (parameter).
-TRAIN_DOCS = 4_000
 #: Held-out rated documents that the regression needs; with fewer it is fitted on the trained ones.
 HELD_OUT = 40
 LEVELS = (1, 2, 3, 4)
@@ -209,14 +208,13 @@ def summary(positions: list[float]) -> float:
 
 
 def _rated(documents: DataFrame, ratings: DataFrame) -> DataFrame:
-    """``(doc_id, text, label, graded)`` of at most TRAIN_DOCS rated documents."""
+    """``(doc_id, text, label, graded)`` of all rated documents."""
     usable = ratings.filter(F.col("doc_id").isNotNull() & F.col("level").between(1, 4)).select("doc_id", "level", "rater", "rated_at").distinct()
     votes = usable.groupBy("doc_id", "level").count()
     order = Window.partitionBy("doc_id").orderBy(F.desc("count"), "level")
     label = votes.withColumn("n", F.row_number().over(order)).groupBy("doc_id").agg(F.max(F.when(F.col("n") == 1, F.col("level"))).cast("int").alias("label"), (F.sum(F.col("level") * F.col("count")) / F.sum("count")).alias("graded"))
-    taken = label.orderBy(F.xxhash64("doc_id")).limit(TRAIN_DOCS)
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
-    return texts.join(taken, "doc_id").groupBy("doc_id", "label", "graded").agg(F.min("text").alias("text"))
+    return texts.join(label, "doc_id").groupBy("doc_id", "label", "graded").agg(F.min("text").alias("text"))
 
 
 _LOADED: dict[str, LevelModels] = {}
@@ -231,18 +229,25 @@ def _worker_models(shared) -> LevelModels:
     return _LOADED[key]
 
 
+def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The different sentences of each batch by level, their tokens parted by spaces, and how often each occurs."""
+    for pdf in batches:
+        whole: Counter = Counter()
+        for text, label in zip(pdf["text"], pdf["label"], strict=True):
+            whole.update((" ".join(s), int(label)) for s in sentences(text))
+        yield pd.DataFrame([(s, lv, n) for (s, lv), n in whole.items()], columns=["sentence", "label", "n"])
+
+
 def _count(shared):
-    """N-gram counts of each batch by level: the document's own at first, the sentence's likeliest afterwards."""
+    """N-gram counts of each batch of sentences by level: the document's own at first, the sentence's likeliest afterwards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = _worker_models(shared) if shared else None
         for pdf in batches:
-            whole: Counter = Counter()
-            for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                whole.update((s, int(label)) for s in sentences(text))
             counts: Counter = Counter()
-            for (s, label), n in whole.items():
-                level = models.position(s, label)[1] if models else label
+            for sentence, label, n in zip(pdf["sentence"], pdf["label"], pdf["n"], strict=True):
+                s = tuple(sentence.split(" "))
+                level = models.position(s, int(label))[1] if models else int(label)
                 for gram in ngrams(s, language_of(s)):
                     counts[gram, level] += n
             yield pd.DataFrame([(g, lv, n) for (g, lv), n in counts.items()], columns=["gram", "level", "n"])
@@ -253,8 +258,10 @@ def _count(shared):
 def train(rated: DataFrame):
     """The n-gram counts after ROUNDS refinements, as (key, broadcast of every n-gram's counts by level). Counting is a Spark job each time."""
     shared = None
+    taken = rated.select("text", "label").mapInPandas(_sentences, "sentence string, label int, n long")
+    taken = cut(taken.groupBy("sentence", "label").agg(F.sum("n").alias("n")))  # read in every round
     for _ in range(ROUNDS + 1):
-        counted = rated.mapInPandas(_count(shared), "gram string, level int, n long")
+        counted = taken.mapInPandas(_count(shared), "gram string, level int, n long")
         table = counted.groupBy("gram").agg(*[F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).cast("double").alias(f"c{k}") for k in LEVELS])
         rows = [(r[0], (r[1], r[2], r[3], r[4])) for r in table.toPandas().itertuples(index=False)]
         shared = uuid.uuid4().hex, rated.sparkSession.sparkContext.broadcast(rows)
