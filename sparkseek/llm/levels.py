@@ -51,7 +51,7 @@ _CODE = re.compile(r"`[^`\n]+`")
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)|https?://\S+")
 _DROPPED_LINE = re.compile(r"^(?:(?: {4}|\t).*|\s*at \S+\(.*|\s*(?:query>|hits:|\$ |>>> ).*|\s*\|.*\|\s*|\s{0,3}#{1,6}\s.*|\s*[-=*_]{3,}\s*|\s*[^\s.!?。！？]*[{}();]+\s*|\s*(?:import|package|def|func|return|class|public|const|let|var|if|for)\b[^.!?。！？]*[{;:)(]\s*)$")
 _PREFIX = re.compile(r"^[ \t]*(?:(?:[>*+-]|//|#|\d{1,3}[.)])[ \t]+)*")
-_END = re.compile(r"[.!?][\"”»')*_]*\s+(?=[^\sa-zäöüßñáéíóú])|[。！？]|\n{2,}")
+_END = re.compile(r"[.!?。！？\n](?:(?<=[.!?])[\"”»')*_]*\s+(?=[^\sa-zäöüßñáéíóú])|(?<=[。！？])|(?<=\n)\n+)")
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W㐀-鿿]+")
 #: What a code span becomes: read as a name.
 _SPAN = " code_span "
@@ -89,8 +89,8 @@ def sentences(text: str | None) -> list[tuple[str, ...]]:
     text = _CODE.sub(_SPAN, text)
     out = []
     for part in _END.split(text):
-        tokens = tuple(map(_SIGNS.__getitem__, _TOKEN.findall(part)))
-        if len(tokens) - tokens.count("⟦i⟧") - tokens.count("⟦n⟧") >= 2:
+        tokens = _PARTS[part]
+        if tokens:
             out.append(tokens)
     return out
 
@@ -111,27 +111,39 @@ class _Signs(dict):
         return sign
 
 
+class _Parts(dict):
+    """Part of a text -> its tokens, none for less than two words; remembered, as sentences recur."""
+
+    def __missing__(self, part: str) -> tuple[str, ...]:
+        tokens = tuple(map(_SIGNS.__getitem__, _TOKEN.findall(part)))
+        if len(tokens) - tokens.count("⟦i⟧") - tokens.count("⟦n⟧") < 2:
+            tokens = ()
+        if len(self) > 200_000:
+            self.clear()
+        if len(part) < 1_000:
+            self[part] = tokens
+        return tokens
+
+
 _INNER_CAPITAL = re.compile("[a-zäöüß][A-ZÄÖÜ]")
 _SIGNS = _Signs()
+_PARTS = _Parts()
 
 
 def language_of(tokens: tuple[str, ...]) -> str:
     """Han script, or the language with most function words."""
-    if sum(1 for t in tokens if _HAN.match(t)) * 2 > len(tokens):
+    if max(tokens, default="") >= "㐀" and sum(1 for t in tokens if _HAN.match(t)) * 2 > len(tokens):
         return "zh"
-    counts = {k: sum(1 for t in tokens if t in v) for k, v in _FUNCTION.items()}
+    counts = {k: sum(map(v.__contains__, tokens)) for k, v in _FUNCTION.items()}
     best = max(counts, key=lambda k: (counts[k], k))
     return best if counts[best] else "en"
 
 
-def ngrams(tokens: tuple[str, ...], language: str) -> Iterator[str]:
+def ngrams(tokens: tuple[str, ...], language: str) -> list[str]:
     """Uni-, bi- and trigrams with the sentence's end, and the language's total."""
-    padded = ("<", "<", *tokens, ">")
-    for i in range(2, len(padded)):
-        yield f"{language}\t1"
-        yield f"{language}\t{padded[i]}"
-        yield f"{language}\t{padded[i - 1]} {padded[i]}"
-        yield f"{language}\t{padded[i - 2]} {padded[i - 1]} {padded[i]}"
+    head, one, words = f"{language}\t", ("<", *tokens), (*tokens, ">")
+    pairs = [f"{a} {b}" for a, b in zip(one, words, strict=True)]
+    return [f"{head}1"] * len(words) + [head + w for w in words] + [head + p for p in pairs] + [f"{head}{a} {p}" for a, p in zip(("<", *one), pairs, strict=False)]
 
 
 class LevelModels:
@@ -140,6 +152,7 @@ class LevelModels:
     def __init__(self, rows: list[tuple[str, tuple[float, ...]]]) -> None:
         self.counts = dict(rows)
         self.known: dict[tuple[str, ...], tuple[float, ...]] = {}
+        self.places: dict[tuple[str, ...], float] = {}
         self.grams: dict[str, dict[tuple[str, str, str], tuple[float, ...]]] = {}
         before: dict[str, list[float]] = {}
         for gram, c in rows:
@@ -153,10 +166,12 @@ class LevelModels:
 
     def _gram(self, language: str, w2: str, w1: str, w: str) -> tuple[float, ...]:
         """Surprisal of one word after two others under each level's model."""
-        none = (0.0,) * 4
-        total, one = self.counts.get(f"{language}\t1", none), self.counts.get(f"{language}\t{w}", none)
-        three, two = self.counts.get(f"{language}\t{w2} {w1} {w}", none), self.counts.get(f"{language}\t{w1} {w}", none)
-        h3, h2 = self.before.get(f"{language}\t{w2} {w1}", none), self.before.get(f"{language}\t{w1}", none)
+        none, get, head = (0.0,) * 4, self.counts.get, f"{language}\t"
+        total, one = get(f"{head}1", none), get(head + w, none)
+        h2 = self.before.get(head + w1, none)
+        h3 = self.before.get(f"{head}{w2} {w1}", none) if h2 is not none else none
+        two = get(f"{head}{w1} {w}", none) if h2 is not none else none
+        three = get(f"{head}{w2} {w1} {w}", none) if two is not none and h3 is not none else none
         out = []
         for k in range(4):
             p = LAMBDA[3] / self.vocabulary + LAMBDA[2] * one[k] / (total[k] + 1)
@@ -199,6 +214,16 @@ class LevelModels:
         return sum((k + 1) * w for k, w in enumerate(weights)) / sum(weights), s.index(low) + 1
 
 
+    def place(self, tokens: tuple[str, ...]) -> float:
+        """``position`` of a sentence of any document, remembered."""
+        found = self.places.get(tokens)
+        if found is None:
+            if len(self.places) > 300_000:
+                self.places.clear()
+            found = self.places[tokens] = self.position(tokens)[0]
+        return found
+
+
 def summary(positions: list[float]) -> float:
     """One number for a document's distribution: the level of most of its sentences, shifted towards their mean."""
     nearest = Counter(min(4, max(1, round(p))) for p in positions)
@@ -244,13 +269,16 @@ def _count(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = _worker_models(shared) if shared else None
         for pdf in batches:
-            counts: Counter = Counter()
-            for sentence, label, n in zip(pdf["sentence"], pdf["label"], pdf["n"], strict=True):
+            counts: dict[int, Counter] = {k: Counter() for k in LEVELS}
+            for sentence, label, n in zip(pdf["sentence"].tolist(), pdf["label"].tolist(), pdf["n"].tolist(), strict=True):
                 s = tuple(sentence.split(" "))
-                level = models.position(s, int(label))[1] if models else int(label)
-                for gram in ngrams(s, language_of(s)):
-                    counts[gram, level] += n
-            yield pd.DataFrame([(g, lv, n) for (g, lv), n in counts.items()], columns=["gram", "level", "n"])
+                own = counts[models.position(s, label)[1] if models else label]
+                if n == 1:
+                    own.update(ngrams(s, language_of(s)))
+                else:
+                    for gram in ngrams(s, language_of(s)):
+                        own[gram] += n
+            yield pd.DataFrame([(g, lv, n) for lv, own in counts.items() for g, n in own.items()], columns=["gram", "level", "n"])
 
     return run
 
@@ -274,7 +302,7 @@ def _score(shared):
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                positions = [models.position(s)[0] for s in sentences(text)]
+                positions = list(map(models.place, sentences(text)))
                 if positions:
                     q = sorted(positions)
                     rows.append((doc_id, summary(positions), sum(q) / len(q), q[len(q) // 4], q[len(q) // 2], q[3 * len(q) // 4], len(q)))

@@ -66,3 +66,18 @@ def test_every_rated_document_is_used(spark):
     docs = spark.range(4_600).selectExpr("id as doc_id", "concat('The page ', repeat('x', int(id)), ' is open.') as text", "1 as level", "'en' as lang")
     ratings = spark.range(4_600).selectExpr("id as doc_id", "int(id % 4) + 1 as level", "'r' as rater", "timestamp'2026-01-01' as rated_at")
     assert R._rated(docs, ratings).count() == 4_600
+
+
+def test_what_recurs_is_worked_out_once(monkeypatch):
+    """The words of every sentence were looked up and its place reckoned again, however often it stood in the texts."""
+    R._PARTS.clear()
+    looked = []
+    monkeypatch.setattr(R, "_SIGNS", type("S", (dict,), {"__missing__": lambda self, w: looked.append(w) or w.lower()})())
+    found = [R.sentences("The page is open. 这个表格不慢。Read it!\n\n\nGo on now.") for _ in range(50)]
+    assert found[0] == [("the", "page", "is", "open"), tuple("这个表格不慢"), ("read", "it"), ("go", "on", "now")] and all(x == found[0] for x in found)
+    assert len(looked) == 15
+    models = R.LevelModels([(g, (1.0, 0.0, 0.0, 2.0)) for g in R.ngrams(("the", "page"), "en")])
+    placed = []
+    monkeypatch.setattr(models, "position", lambda s, f=models.position: placed.append(s) or f(s))
+    assert len({models.place(("the", "page")) for _ in range(50)}) == 1 and len(placed) == 1
+    R._PARTS.clear()
